@@ -31,6 +31,13 @@ def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.jaccard import similar_components
+
+    found = similar_components(table(spark, sf_dir, "documents"), Scratch(spark, "op8"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.packing import pack_documents
 
@@ -47,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op3_bpe_roundtrip": op3_bpe_roundtrip,
+        "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_token_counts": op10_token_counts,
     }
