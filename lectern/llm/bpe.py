@@ -33,8 +33,8 @@ ASCII_PATTERN = (
 )
 
 NONE = np.int64(1 << 40)
-CHUNK_CHARS = 2_000_000
-CACHE_WORDS = 300_000
+CHUNK_CHARS = 300_000
+CACHE_WORDS = 250_000
 
 
 def byte_alphabet() -> dict[str, int]:

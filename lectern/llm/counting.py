@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bpe import Encoder, Vocabulary, vocabulary
+from lectern.llm.tables import slices
 
 _PROVEN: dict[str, frozenset[str]] = {}
 
@@ -61,19 +62,20 @@ def token_counts(df: DataFrame, path: str, limit: int = 512) -> DataFrame:
     columns are not read.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = _Rest(vocabulary(path), proven(path))
-        for b in batches:
-            texts = [t if isinstance(t, str) and t else None for t in b["text"]]
+        for b in slices(batches):
+            texts = b.column(1).to_pylist()
             merged = list(rest.count(texts))
             direct, rest.direct = iter(rest.direct), []
             n = [m + (next(direct) if t else 0) for m, t in zip(merged, texts, strict=True)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": b["n_bytes"], "n_tokens": n})
+            columns = [b.column(0), b.column(2), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens"])
 
     src = df.select(
         F.col("doc_id").cast("bigint"),
         F.col("text").cast("string"),
         F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("bigint").alias("n_bytes"),
     )
-    out = src.mapInPandas(run, "doc_id bigint, n_bytes bigint, n_tokens bigint")
+    out = src.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -13,12 +13,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.bpe import Encoder, vocabulary
+from lectern.llm.tables import slices
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -26,7 +26,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary(path))
-        for b in batches:
+        for b in slices(batches):
             ids = [x.astype("<u4").tobytes() for x in encoder.encode(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
 
@@ -40,7 +40,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for b in batches:
+        for b in slices(batches):
             texts = [vocab.decode(np.frombuffer(x or b"", dtype="<u4")) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["key", "text"])
 
@@ -52,17 +52,17 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
 def round_trip_digests(df: DataFrame, path: str) -> DataFrame:
     """Encodes and decodes each text in one pass; digests of the ids and of the decoded text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         encoder = Encoder(vocab)
-        for b in batches:
-            texts = [t if isinstance(t, str) else None for t in b["text"]]
+        for b in slices(batches):
             counts, ids_sha, text_sha = [], [], []
-            for ids in encoder.encode(texts):
+            for ids in encoder.encode(b.column(1).to_pylist()):
                 counts.append(ids.size)
                 ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 text_sha.append(hashlib.sha256(vocab.decode(ids).encode("utf-8")).hexdigest())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": counts, "ids_sha256": ids_sha, "decoded_sha256": text_sha})
+            columns = [b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     out = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return df.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInPandas(run, out)
+    return df.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, out)

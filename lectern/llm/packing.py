@@ -17,14 +17,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.bpe import Encoder, vocabulary
+from lectern.llm.tables import slices
 from lectern.plans.scratch import Scratch
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, nth bigint"
+SCHEMA = pa.schema(
+    [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64())]
+    + [("ids_crc32", pa.int64()), ("task", pa.int32()), ("nth", pa.int64())]
+)
 
 
 def token_pieces(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -35,13 +41,12 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2
     pieces of the same length in the same task.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = Encoder(vocabulary(path)), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        for b in batches:
+        for b in slices(batches):
             rows = []
-            texts = [t if isinstance(t, str) else None for t in b["text"]]
-            for doc, ids in zip(b["doc_id"], encoder.encode(texts), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
                 raw = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()
                 n = len(raw) // 4
                 at, piece = 0, 0
@@ -50,9 +55,10 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2
                     rows.append((doc, piece, at, size, zlib.crc32(raw[4 * at : 4 * (at + size)]), task, seen[size]))
                     seen[size] += 1
                     at, piece = at + size, piece + 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SCHEMA.types, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, schema=SCHEMA)
 
-    return df.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInPandas(run, PIECES)
+    return df.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
 def fullest(available: dict[int, int], room: int) -> dict[int, int]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.plans.scratch import workers_import_package
@@ -11,3 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan of one table; ``sf_dir`` may be any path Spark can read."""
     workers_import_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Small pieces of Arrow batches, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
