@@ -59,3 +59,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND llr_sum >= -60 * n_grams AS kept
 FROM failed
 """
+
+OP7 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda e: e::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+link AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id
+    AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.93),
+walk AS (
+  SELECT DISTINCT a AS id, a AS met FROM link
+  UNION
+  SELECT walk.id, link.b FROM walk JOIN link ON link.a = walk.met),
+component AS (SELECT id, min(met) AS component_id FROM walk GROUP BY id),
+counted AS (SELECT a AS id, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id,
+  coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN component c ON c.id = vec_id LEFT JOIN counted k ON k.id = vec_id
+"""
