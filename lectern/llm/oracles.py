@@ -79,3 +79,53 @@ SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS comp
   coalesce(component_id, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN component c ON c.id = vec_id LEFT JOIN counted k ON k.id = vec_id
 """
+
+
+def _matches(kind: str, pattern: str) -> str:
+    """(doc_id, kind, start, m): matches of one pattern with their places."""
+    return f"""SELECT doc_id, '{kind}' AS kind, m, CAST(sum(length(p) + length(m)) OVER w - length(m) AS BIGINT) AS start
+FROM (SELECT doc_id, unnest(ms) AS m, unnest(ps[:len(ms)]) AS p, generate_subscripts(ms, 1) AS i FROM (
+  SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS ps FROM docs))
+WINDOW w AS (PARTITION BY doc_id ORDER BY i)"""
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = (
+    f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 "
+    f"THEN substr({_DIGITS}, -i, 1)::INT ELSE substr({_DIGITS}, -i, 1)::INT * 2 // 10 + substr({_DIGITS}, -i, 1)::INT * 2 % 10 END)) % 10 = 0"
+)
+_NEAR = "lower(substr(text, greatest(1, start - 39), least(start, 40)))"
+OP5 = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+email AS ({_matches("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+")}),
+ip AS ({_matches("ip", "[0-9]+([.][0-9]+)([.][0-9]+)([.][0-9]+)")}),
+card AS ({_matches("card", "[0-9]([ -]?[0-9])+")}),
+phone AS ({_matches("phone", "[+][0-9][ ().0-9-]+[0-9]")}),
+iban AS ({_matches("iban", "(?:^|[^A-Za-z0-9])[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9]){11,30}")}),
+ssn AS ({_matches("ssn", "[0-9-]+")}),
+ibans AS (
+  SELECT doc_id, kind, regexp_extract(m, '[A-Z].*') AS m, start + length(m) - length(regexp_extract(m, '[A-Z].*')) AS start FROM iban),
+spans AS (
+  SELECT doc_id, kind, start, m, 1 AS k FROM email
+  UNION ALL SELECT doc_id, kind, start, m, 2 FROM ip
+  WHERE len(list_filter(string_split(m, '.'), lambda o: length(ltrim(o, '0')) > 3 OR coalesce(TRY_CAST(o AS BIGINT), 256) > 255)) = 0
+  UNION ALL SELECT doc_id, kind, start, m, 3 FROM card WHERE length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}
+  UNION ALL SELECT doc_id, kind, start, m, 4 FROM phone WHERE length({_DIGITS}) BETWEEN 10 AND 15
+  UNION ALL SELECT doc_id, kind, start, m, 5 FROM ibans JOIN docs USING (doc_id)
+  WHERE NOT regexp_matches(substr(text, start + length(m) + 1, 1), '[A-Za-z0-9]') AND length(replace(m, ' ', '')) BETWEEN 15 AND 34
+    AND list_reduce(list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''),
+      lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE c::INT END), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97, 0) = 1
+  UNION ALL SELECT doc_id, kind, start, m, 6 FROM ssn JOIN docs USING (doc_id)
+  WHERE regexp_full_match(m, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') AND NOT regexp_matches(m, '^(000|666|9)') AND NOT regexp_matches(m, '-00-|-0000$')
+    AND regexp_matches({_NEAR}, 'ssn|social|security') AND NOT regexp_matches({_NEAR}, 'example|sample|test|dummy')),
+joined AS (
+  SELECT doc_id, count(*) FILTER (k = 1) AS n_email, count(*) FILTER (k = 2) AS n_ip, count(*) FILTER (k = 3) AS n_card,
+    count(*) FILTER (k = 4) AS n_phone, count(*) FILTER (k = 5) AS n_iban, count(*) FILTER (k = 6) AS n_ssn,
+    string_agg(kind || ':' || start || ':' || (start + length(m)), ',' ORDER BY start, k) AS spans,
+    string_agg(kind || ':' || start || ':' || (start + length(m)), ',' ORDER BY start, k) FILTER (k <= 4) AS base
+  FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+  coalesce(n_phone, 0) AS n_phone, coalesce(n_iban, 0) AS n_iban, coalesce(n_ssn, 0) AS n_ssn,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN joined USING (doc_id)
+"""

@@ -31,6 +31,12 @@ def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.pii import report
+
+    return report(table(spark, sf_dir, "documents")).drop("max_score")
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.embedding_dedup import near_duplicates
 
@@ -60,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op3_bpe_roundtrip": op3_bpe_roundtrip,
+        "op5_personal_data": op5_personal_data,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_best_fit_packing": op9_best_fit_packing,
@@ -68,4 +75,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": oracles.OP1, "op7_embedding_dedup": oracles.OP7}
+    return {
+        "op1_quality_rules": oracles.OP1,
+        "op5_personal_data": oracles.OP5,
+        "op7_embedding_dedup": oracles.OP7,
+    }
