@@ -37,6 +37,13 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents")).drop("max_score")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.embedding_dedup import near_duplicates
 
@@ -67,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op3_bpe_roundtrip": op3_bpe_roundtrip,
         "op5_personal_data": op5_personal_data,
+        "op6_toxicity": op6_toxicity,
         "op7_embedding_dedup": op7_embedding_dedup,
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_best_fit_packing": op9_best_fit_packing,
