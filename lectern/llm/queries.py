@@ -38,6 +38,13 @@ def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.html_text import fit, main_texts
+
+    pages = table(spark, sf_dir, "pages")
+    return main_texts(pages, fit(pages))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.pii import report
 
@@ -81,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_language_id": op2_language_id,
         "op3_bpe_roundtrip": op3_bpe_roundtrip,
+        "op4_html_extraction": op4_html_extraction,
         "op5_personal_data": op5_personal_data,
         "op6_toxicity": op6_toxicity,
         "op7_embedding_dedup": op7_embedding_dedup,
