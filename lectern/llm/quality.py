@@ -21,6 +21,7 @@ ignored by :func:`assess`.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -75,8 +76,6 @@ def gram_weights(docs: DataFrame, labels: DataFrame, rules: QualityRules) -> lis
     rows = counted.withColumn("t", totals).select("bucket", F.round(ratio * 1000).cast("bigint").alias("weight"), "t")
     got = rows.collect()  # one row a bucket
     t_raw, t_target = (got[0].t.raw, got[0].t.target) if got else (0, 0)
-    import math
-
     unseen = math.log(1 / (t_target + size)) - math.log(1 / (t_raw + size))
     weights = [int(math.floor(abs(unseen) * 1000 + 0.5)) * (1 if unseen > 0 else -1)] * size
     for r in got:
@@ -85,13 +84,11 @@ def gram_weights(docs: DataFrame, labels: DataFrame, rules: QualityRules) -> lis
 
 
 def base_rules(df: DataFrame, rules: QualityRules) -> DataFrame:
-    """Adds the base columns to ``df`` (doc_id, text, w)."""
+    """Adds the base columns to ``df`` (doc_id, text, w and any others)."""
     windows = "transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))"
     lines = f"filter(split(coalesce(text, ''), '\\n'), l -> l RLIKE '[^\\\\x20\\\\x09-\\\\x0D]')"
     df = df.select(
-        "doc_id",
-        "text",
-        "w",
+        *df.columns,
         F.size("w").cast("bigint").alias("n_words"),
         F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
         F.expr("CAST(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]+', '')) AS BIGINT)").alias("n_symbols"),
@@ -120,19 +117,35 @@ def base_rules(df: DataFrame, rules: QualityRules) -> DataFrame:
     return df.withColumn("base_failed", failed)
 
 
-def assess(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """One row a document: counts, base verdict, ratio in thousandths of a nat, verdict."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    table = F.expr("split('" + ",".join(map(str, gram_weights(docs, labels, rules))) + "', ',')").cast("array<bigint>")
+def _judge(df: DataFrame, weights: list[int], rules: QualityRules) -> DataFrame:
+    """Adds all counts and the verdict to ``df`` (doc_id, text and any others)."""
+    table = F.expr("split('" + ",".join(map(str, weights)) + "', ',')").cast("array<bigint>")
     n = rules.buckets
-    df = base_rules(docs.withColumn("w", words("text")), rules)
+    df = base_rules(df.withColumn("w", words("text")), rules)
     total = (
         f"aggregate(w, 0L, (a, x) -> a + weights[crc32(CAST(x AS BINARY)) % {n}]) + CASE WHEN size(w) > 1 THEN "
         f"aggregate(sequence(1, size(w) - 1), 0L, (a, i) -> "
         f"a + weights[crc32(CAST(concat_ws(' ', w[i - 1], w[i]) AS BINARY)) % {n}]) ELSE 0L END"
     )
-    df = df.withColumn("weights", table).withColumn("llr_sum", F.expr(total)).drop("weights", "w", "text")
+    df = df.withColumn("weights", table).withColumn("llr_sum", F.expr(total)).drop("weights", "w")
     n_grams = F.greatest(2 * F.col("n_words") - 1, F.lit(0))
     return df.withColumn("n_grams", n_grams).withColumn(
         "kept", ~F.col("base_failed") & (F.col("llr_sum") >= rules.threshold * F.col("n_grams"))
     )
+
+
+def assess(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """One row a document: counts, base verdict, ratio in thousandths of a nat, verdict."""
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return _judge(docs, gram_weights(docs, labels, rules), rules).drop("text")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns, whatever those are called."""
+    text = F.col("text").cast("string").alias("text")
+    weights = gram_weights(docs.select("doc_id", text), labels, rules)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", text)
+    judged = _judge(packed, weights, rules).withColumn("after", F.rand(0))
+    # The condition stays above the columns it is made of: pushed below them, each use
+    # of a column would become a copy of all that made it.
+    return judged.where("kept AND after >= 0").select("row.*")
