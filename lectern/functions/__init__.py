@@ -1 +1 @@
-
+"""Column functions: vectors and text."""

@@ -1 +1 @@
-
+"""Structured Streaming: session state, telemetry and event windows."""
