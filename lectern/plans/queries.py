@@ -241,7 +241,7 @@ def rec_score(spark: SparkSession, d: str) -> DataFrame:
     pairs = dense.pairs_in_blocks(q, r, "query_id")
     candidates = pairs.select("query_id", F.col("id").alias("doc_id"), vx.cosine(F.col("asked"), F.col("embedding")).alias("doc_sim"), F.coalesce("published_on", F.lit("1990-01-01").cast("timestamp")).alias("published_on"), "chunk_count")
     scored = recommend.score(candidates, _bm25(spark, d, 10).withColumnRenamed("id", "doc_id"), F.lit(AS_OF).cast("timestamp"))
-    return scored.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", *[F.round(c, 4).alias(c) for c in ("score", "doc_sim", "chunk_aggregate", "recency")], F.col("chunk_hits").cast("bigint").alias("chunk_hits"))
+    return scored.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score", "doc_sim", "chunk_aggregate", "recency", F.col("chunk_hits").cast("bigint").alias("chunk_hits"))
 
 
 def rec_reasons(spark: SparkSession, d: str) -> DataFrame:
@@ -303,7 +303,7 @@ def affinity(spark: SparkSession, d: str) -> DataFrame:
     items = _embedded(_items(spark, d), "query_id")
     pairs = dense.pairs_in_blocks(items, recent, "query_id")
     sims = pairs.select("session_id", F.col("query_id").alias("doc_id"), F.lit("query").alias("kind"), vx.cosine(F.col("asked"), F.col("embedding")).alias("sim"))
-    return recommend.affinity(sims).withColumn("affinity", F.round("affinity", 4))
+    return recommend.affinity(sims)
 
 
 def turn_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -311,7 +311,7 @@ def turn_metrics(spark: SparkSession, d: str) -> DataFrame:
     tokens = F.get_json_object("props", "$.k").cast("bigint")
     calls = e.select(F.col("user_id").alias("turn_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("function"), F.round(F.col("value") * 1000).cast("bigint").alias("duration_ms"), tokens.alias("tokens_in"), (tokens * 2).alias("tokens_out"))
     out = sessions.turn_metrics(calls, 0.15, 0.60)
-    return out.select("turn_id", F.md5("functions").alias("functions_md5"), "duration_ms", "tokens_in", "tokens_out", F.round(F.col("cost").cast("double"), 6).alias("cost"))
+    return out.select("turn_id", F.md5("functions").alias("functions_md5"), "duration_ms", "tokens_in", "tokens_out", (F.col("cost") * 100_000_000).cast("bigint").alias("cost_e8"))
 
 
 # -- metrics ------------------------------------------------------------------------------------------------
