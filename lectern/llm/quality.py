@@ -129,9 +129,11 @@ def _judge(df: DataFrame, weights: list[int], rules: QualityRules) -> DataFrame:
     )
     df = df.withColumn("weights", table).withColumn("llr_sum", F.expr(total)).drop("weights", "w")
     n_grams = F.greatest(2 * F.col("n_words") - 1, F.lit(0))
-    return df.withColumn("n_grams", n_grams).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("llr_sum") >= rules.threshold * F.col("n_grams"))
-    )
+    # A filter on the result stays above this random column: pushed below the counts, each
+    # use of one would become a copy of all that made it.
+    df = df.withColumn("n_grams", n_grams).withColumn("after", F.rand(0))
+    kept = ~F.col("base_failed") & (F.col("llr_sum") >= rules.threshold * F.col("n_grams")) & (F.col("after") >= 0)
+    return df.withColumn("kept", kept).drop("after")
 
 
 def assess(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
@@ -145,7 +147,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityR
     text = F.col("text").cast("string").alias("text")
     weights = gram_weights(docs.select("doc_id", text), labels, rules)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", text)
-    judged = _judge(packed, weights, rules).withColumn("after", F.rand(0))
-    # The condition stays above the columns it is made of: pushed below them, each use
-    # of a column would become a copy of all that made it.
-    return judged.where("kept AND after >= 0").select("row.*")
+    return _judge(packed, weights, rules).where("kept").select("row.*")
