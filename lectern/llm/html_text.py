@@ -107,13 +107,14 @@ def parse(page: str) -> Iterator[tuple[str, str, str]]:
 
 def _judged(keys: list[str], weights: PageWeights, in_content: bool) -> float | None:
     """Score of words in a section with these keys; None where it says nothing."""
-    known = [weights.sections[k] for k in keys if k in weights.sections]
-    if known:
-        return min(known)
     name = keys[0].partition(".")[0]
     words = [p for k in keys for p in re.split(r"[-_.]", k.partition(".")[2]) if p]
+    # furniture inside a labelled article is furniture all the same
     if any(FURNITURE.match(w) for w in words) or (FURNITURE.match(name) and not (name == "header" and in_content)):
         return -2.0
+    known = [weights.sections[k] for k in keys if k in weights.sections]
+    if known:
+        return min(known)
     if any(CONTENT.match(w) for w in words) or CONTENT.match(name):
         return 2.0
     return None
