@@ -42,7 +42,9 @@ class LanguageModel:
     bits: int = 14
     orders: tuple[int, ...] = (2, 3, 4)
     dim: int = 16
+    #: Passes over the sample, and steps that small samples get at least.
     epochs: int = 12
+    least_steps: int = 1_200
     batch: int = 32
     rate: float = 2.0
     accepted_precision: float = 0.99
@@ -107,8 +109,9 @@ def fit_texts(texts: list[str], langs: list[str], c: LanguageModel) -> FittedLan
     held, train = order[: len(order) // 5], order[len(order) // 5 :]
     emb = rng.normal(0, 0.1, (1 << c.bits, c.dim))
     out = np.zeros((c.dim, len(languages)))
-    for epoch in range(c.epochs):
-        rate = c.rate * (1 - epoch / c.epochs)
+    epochs = max(c.epochs, -(-c.least_steps * c.batch // max(len(train), 1)))
+    for epoch in range(epochs):
+        rate = c.rate * (1 - epoch / epochs)
         train = rng.permutation(train)
         for i in range(0, len(train), c.batch):
             rows = train[i : i + c.batch]
