@@ -1,16 +1,19 @@
 """Toxicity by compression distance (operator 6).
 
-Two zstandard dictionaries are trained, one on ordinary text and one on the
-toxic passages of toxic documents. Each window of a text is compressed with both;
+Two zstandard dictionaries are trained, one on ordinary text and one on the text
+of toxic documents. Each window of a text is compressed with both;
 it speaks for the class whose dictionary makes it shorter. How many windows of a
 document lie how many bytes apart is weighed by a calibrated logistic threshold.
 
 A window is one word (``window_words``). On its own it would be stored raw, so it
 is compressed between a lead-in that both dictionaries hold and a fixed tail,
 which keeps the frames in the compressed form and their lengths comparable.
-Toxic passages are the words whose beginnings occur in far more toxic documents
-than ordinary ones; ordinary words that the toxic dictionary shortens are added
-to the ordinary samples and both are trained again.
+The words of toxic documents are drawn for training by how much their beginnings
+speak for toxic documents: there is no least share or ratio, so weak marks that
+recur are trained on beside the strong ones, and the threshold decides what they
+are worth. Ordinary words that the toxic dictionary shortens although nothing in
+them speaks for toxic documents are added to the ordinary samples, whose
+dictionary is trained again.
 
 The model is fitted on a bounded sample of labelled rows (``toxic_docs`` and
 ``ordinary_docs`` texts of at most ``max_chars`` characters, those whose ids hash
@@ -24,6 +27,7 @@ pass :func:`keep_ordinary` untouched.
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
@@ -131,12 +135,24 @@ def _document_counts(texts: list[str]) -> Counter:
     return n
 
 
-def toxic_words(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Words of toxic documents whose beginnings mark toxic documents."""
+def evidence(toxic: list[str], ordinary: list[str]) -> dict[bytes, float]:
+    """Weight of each beginning that has a larger share of toxic than of ordinary documents.
+
+    The weight is its share of toxic documents times the squared log of the ratio of shares.
+    """
     t, o = _document_counts(toxic), _document_counts(ordinary)
-    least = max(3, len(toxic) // 200)
-    marks = {g for g, n in t.items() if n >= least and n / len(toxic) > 20 * (o[g] + 0.5) / len(ordinary)}
-    return [w.encode() for x in toxic for w in re.findall(r"\w+", x.lower()) if _beginnings(w) & marks]
+    ratio = {g: n / len(toxic) * (len(ordinary) + 0.5) / (o[g] + 0.5) for g, n in t.items()}
+    return {g: t[g] / len(toxic) * math.log(r) ** 2 for g, r in ratio.items() if r > 1}
+
+
+def _speaks(word: str, known: dict[bytes, float]) -> float:
+    return max(known.get(g, 0.0) for g in _beginnings(word))
+
+
+def toxic_words(toxic: list[str], known: dict[bytes, float]) -> dict[str, float]:
+    """Every word of toxic documents that has evidence -> its occurrences times its evidence."""
+    n = Counter(w for t in toxic for w in re.findall(r"\w+", t.lower()))
+    return {w: n[w] * e for w in sorted(n) if (e := _speaks(w, known)) > 0}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -160,18 +176,22 @@ def fit_texts(toxic: list[str], ordinary: list[str], prior: float, c: ToxicityMo
     rng = random.Random(11)
     third = lambda x: (x[: len(x) * 2 // 3], x[len(x) * 2 // 3 :])
     (t_fit, t_cal), (o_fit, o_cal) = third(toxic), third(ordinary)
-    marked = toxic_words(t_fit, o_fit)
+    known = evidence(t_fit, o_fit)
+    marked = toxic_words(t_fit, known)
     if not marked:
         return empty
-    toxic_samples = [b" " + b" ".join(rng.choices(marked, k=12)) + b" " for _ in range(3_000)]
-    plain = [f" {w} ".encode() for x in o_fit for w in windows(x, c)]
+    drawn = rng.choices([w.encode() for w in marked], list(marked.values()), k=36_000)
+    toxic_samples = [b" " + b" ".join(drawn[i : i + 12]) + b" " for i in range(0, len(drawn), 12)]
+    # the more a word speaks for toxic documents, the fewer of its places train the ordinary dictionary
+    spoken = lambda w: rng.random() < math.exp(-20 * _speaks(w, known))
+    plain = [f" {w} ".encode() for x in o_fit for w in windows(x, c) if spoken(w)]
     rng.shuffle(plain)
     ordinary_samples = [b"".join(plain[i : i + 4]) for i in range(0, min(len(plain), 200_000), 4)]
     toxic_dict = _dictionary(toxic_samples, c.toxic_bytes)
     ordinary_dict = _dictionary(ordinary_samples, c.ordinary_bytes)
     for _ in range(2):
         compare = Comparer(ordinary_dict, toxic_dict, c)
-        distinct = list(dict.fromkeys(plain[:400_000]))
+        distinct = [w for w in dict.fromkeys(plain[:400_000]) if not _speaks(w.decode().strip(), known)]
         hard = [w for w in distinct if compare.saved(w.decode().strip()) >= 3]
         if not hard:
             break

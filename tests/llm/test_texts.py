@@ -180,6 +180,23 @@ def test_toxicity_tells_planted_words():
     assert (scorer.scores(toxic[40:]) >= 0.5).mean() > 0.9 and (scorer.scores(ordinary[80:]) < 0.5).mean() > 0.9
 
 
+def test_toxicity_learns_weak_marks_that_recur():
+    import random
+
+    def make(rng, plain, marks):
+        words = rng.choices(plain, k=120) + ["vorklich" + rng.choice(plain) for _ in range(marks)]
+        rng.shuffle(words)
+        return " ".join(words)
+
+    rng = random.Random(4)
+    plain = ["".join(rng.choices(["ba", "lo", "mi", "tu", "re", "sa"], k=rng.randint(1, 4))) for _ in range(400)]
+    # every toxic text has the mark, and so has one ordinary text of eight, once
+    toxic = [make(rng, plain, rng.randint(6, 9)) for _ in range(150)]
+    ordinary = [make(rng, plain, int(i % 8 == 0)) for i in range(300)]
+    scorer = toxicity.Scorer(toxicity.fit_texts(toxic[:100], ordinary[:200], 0.3, toxicity.ToxicityModel()))
+    assert (scorer.scores(toxic[100:]) >= 0.5).mean() > 0.9 and (scorer.scores(ordinary[200:]) < 0.5).mean() > 0.9
+
+
 def test_toxicity_table(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels)
