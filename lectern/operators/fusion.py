@@ -32,9 +32,9 @@ def diversity_cap(ranked: DataFrame, k: int = 6, per_doc: int = 4) -> DataFrame:
 
 
 def term_coverage(query: str, text: str):
-    """Deterministic grade from 0 to 10: the share of query terms that the passage holds."""
+    """Deterministic grade from 0 to 10: the share of query terms that the whole passage holds."""
     asked = F.array_distinct(search_terms(F.col(query)))
-    held = F.size(F.array_intersect(asked, search_terms(F.substring(F.col(text), 1, 4000))))
+    held = F.size(F.array_intersect(asked, search_terms(F.col(text))))
     return F.when(F.size(asked) > 0, F.round(10.0 * held / F.size(asked), 6)).otherwise(F.lit(0.0))
 
 

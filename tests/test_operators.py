@@ -58,6 +58,12 @@ def test_rerank_missing_grades_are_zero(spark):
     assert [(r.id, r.grade) for r in fusion.rerank(ranked, grades, 3).orderBy("place").collect()] == [(12, 10.0), (11, 3.0), (10, 0.0)]
 
 
+def test_grade_reads_the_whole_text(spark):
+    text = "filler " * 2_000 + "needle haystack"
+    df = spark.createDataFrame([("needle haystack", text)], "question string, passage string")
+    assert df.select(fusion.term_coverage("question", "passage").alias("grade")).first().grade == 10.0
+
+
 def test_dense_blocks_and_scope(spark):
     rows = spark.createDataFrame([(i, angle(7 * i), str(i % 2)) for i in range(30)] + [(99, None, "0")], "id long, vector array<double>, scope string")
     asked = spark.createDataFrame([(1, angle(0), None), (2, angle(0), "1")], "query_id long, vector array<double>, scope string")
