@@ -183,16 +183,16 @@ def fit_texts(toxic: list[str], ordinary: list[str], prior: float, c: ToxicityMo
     drawn = rng.choices([w.encode() for w in marked], list(marked.values()), k=36_000)
     toxic_samples = [b" " + b" ".join(drawn[i : i + 12]) + b" " for i in range(0, len(drawn), 12)]
     # the more a word speaks for toxic documents, the fewer of its places train the ordinary dictionary
-    spoken = lambda w: rng.random() < math.exp(-20 * _speaks(w, known))
-    plain = [f" {w} ".encode() for x in o_fit for w in windows(x, c) if spoken(w)]
+    places = Counter(w for x in o_fit for w in windows(x, c))
+    speaks = {w: _speaks(w, known) for w in places}
+    plain = [f" {w} ".encode() for w, n in places.items() for _ in range(n) if rng.random() < math.exp(-20 * speaks[w])]
     rng.shuffle(plain)
-    ordinary_samples = [b"".join(plain[i : i + 4]) for i in range(0, min(len(plain), 200_000), 4)]
+    ordinary_samples = [b"".join(plain[i : i + 4]) for i in range(0, len(plain), 4)]
     toxic_dict = _dictionary(toxic_samples, c.toxic_bytes)
     ordinary_dict = _dictionary(ordinary_samples, c.ordinary_bytes)
     for _ in range(2):
         compare = Comparer(ordinary_dict, toxic_dict, c)
-        distinct = [w for w in dict.fromkeys(plain[:400_000]) if not _speaks(w.decode().strip(), known)]
-        hard = [w for w in distinct if compare.saved(w.decode().strip()) >= 3]
+        hard = [f" {w} ".encode() for w in places if not speaks[w] and compare.saved(w) >= 3]
         if not hard:
             break
         rng.shuffle(hard)

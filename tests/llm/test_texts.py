@@ -197,6 +197,22 @@ def test_toxicity_learns_weak_marks_that_recur():
     assert (scorer.scores(toxic[100:]) >= 0.5).mean() > 0.9 and (scorer.scores(ordinary[200:]) < 0.5).mean() > 0.9
 
 
+def test_toxicity_trains_on_every_ordinary_word(monkeypatch):
+    toxic, ordinary = toy_texts(1)
+    long = [" ".join([t] * 25) for t in ordinary]  # 240,000 words in the two thirds that train
+    seen = {}
+
+    def record(samples, size):
+        seen.setdefault(size, sum(len(s.split()) for s in samples))
+        return b" ".join(samples[:200])
+
+    monkeypatch.setattr(toxicity, "_dictionary", record)
+    monkeypatch.setattr(toxicity, "_speaks", lambda word, known: float("grumblish" in word))
+    c = toxicity.ToxicityModel()
+    toxicity.fit_texts(toxic, long, 0.3, c)
+    assert seen[c.ordinary_bytes] == sum(len(t.split()) for t in long[:80])
+
+
 def test_toxicity_table(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels)
