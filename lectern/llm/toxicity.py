@@ -20,7 +20,9 @@ The model is fitted on a bounded sample of labelled rows (``toxic_docs`` and
 lowest); scoring covers every window of every text.
 
 Cases: null and empty texts have no window and get the score of that; without
-labels of both classes the score is the share of toxic labels, at most 0.49;
+sample texts of both classes, or if no beginning is more common in toxic ones, the
+score is the share of toxic labels, at most 0.49; any other sample is fitted,
+however small, and one text of a class both trains and calibrates;
 equal texts get equal scores; an empty table gives an empty result; other columns
 pass :func:`keep_ordinary` untouched.
 """
@@ -171,10 +173,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -
 
 def fit_texts(toxic: list[str], ordinary: list[str], prior: float, c: ToxicityModel) -> Fitted:
     empty = Fitted(b"", b"", (), prior, c)
-    if len(toxic) < 6 or len(ordinary) < 6:
+    if not toxic or not ordinary:
         return empty
     rng = random.Random(11)
-    third = lambda x: (x[: len(x) * 2 // 3], x[len(x) * 2 // 3 :])
+    third = lambda x: (x[: len(x) * 2 // 3], x[len(x) * 2 // 3 :]) if len(x) > 1 else (x, x)
     (t_fit, t_cal), (o_fit, o_cal) = third(toxic), third(ordinary)
     known = evidence(t_fit, o_fit)
     marked = toxic_words(t_fit, known)

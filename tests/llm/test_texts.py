@@ -213,6 +213,16 @@ def test_toxicity_trains_on_every_ordinary_word(monkeypatch):
     assert seen[c.ordinary_bytes] == sum(len(t.split()) for t in long[:80])
 
 
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_toxicity_fits_few_labels(n):
+    toxic, ordinary = toy_texts(1)
+    model = toxicity.fit_texts(toxic[:n], ordinary[:n], 0.3, toxicity.ToxicityModel())
+    scores = toxicity.Scorer(model).scores
+    assert model.weights and scores(toxic[40:]).mean() > scores(ordinary[80:]).mean()
+    if n == 5:
+        assert (scores(toxic[40:]) >= 0.5).any()
+
+
 def test_toxicity_table(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels)
