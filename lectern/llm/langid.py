@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.tables import slices
@@ -139,13 +139,19 @@ def fit_texts(texts: list[str], langs: list[str], c: LanguageModel) -> FittedLan
 
 
 def fit(docs: DataFrame, c: LanguageModel = LanguageModel()) -> FittedLanguages | None:
-    """Learns from labelled rows whose crc32 of the id is not 2 modulo 4, the lowest hashes of each language."""
+    """Learns from labelled rows whose crc32 of the id is not 2 modulo 4, the lowest hashes of each language.
+
+    Languages take turns, so each gives as many rows as any other or all it has.
+    """
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
     rows = rows.where(F.length("text").between(1, c.max_chars))
     # ids first: the bounded sample is chosen before any text moves
-    ids = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(c.max_rows)
-    sample = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").select("doc_id", "lang", "text").collect()
+    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    for keys in (["lang", F.pmod("h", F.lit(256))], ["lang"]):  # lowest of each share first: no task sorts a whole language
+        ids = ids.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("turn") <= c.max_rows)
+    ids = ids.orderBy("turn", "h", "doc_id", "lang").limit(c.max_rows)
+    sample = rows.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("doc_id", "lang", "text").collect()
     sample = sorted((r.doc_id, r.lang, r.text) for r in sample if _LETTER.search(r.text))
     return fit_texts([t for _, _, t in sample], [lang for _, lang, _ in sample], c)
 

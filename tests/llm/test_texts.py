@@ -66,6 +66,14 @@ def test_language_held_out(spark, sf_dir):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_language_sample_holds_rare_languages(spark):
+    rows = [(i, "the common words of a text", "en") for i in range(4_000)] + [(10_000 + i, "żółć gęślą jaźń źdźbło", "pl") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, langid.LanguageModel(max_rows=16))
+    assert model.languages == ("en", "pl")
+    assert langid.predict_texts(["żółć jaźń", "common text of the words"], model)[0][0] == "pl"
+
+
 def test_language_blocks_cover_whole_texts(spark, sf_dir):
     model = langid.fit(table(spark, sf_dir, "documents"))
     text = "the and of " * 500
