@@ -6,12 +6,13 @@ of its n-grams' weights over the number of its n-grams, and every document is
 held to one fixed threshold. Weights are whole thousandths of a nat, so sums are
 exact in any order and the verdict is deterministic.
 
-Trusted documents are at most ``max_target`` of those labelled as good, those
-with the smallest crc32 of their id; the bound keeps their ids broadcastable.
-Everything counted covers all rows. The weight table has ``buckets`` entries.
+Trusted documents are all of those labelled as good; how their ids are joined is
+left to Spark and its size check. Everything counted covers all rows. The weight
+table has ``buckets`` entries.
 
 Everything is DataFrame functions: the work on one text stays inside its row, so
-scoring needs no shuffle, and counting shuffles one row a bucket and task.
+scoring needs no shuffle. Counting shuffles one row a bucket and task, and the
+texts once where the trusted ids are too many to broadcast.
 
 Cases: a null text, an empty one and one of white space have no words and fail
 the base rules; equal rows get equal verdicts; with no trusted document the
@@ -34,7 +35,6 @@ TRIM = r"' \t\n\u000b\f\r'"
 @dataclass(frozen=True)
 class QualityRules:
     buckets: int = 10_000
-    max_target: int = 20_000
     min_words: int = 50
     max_repeat_percent: int = 50
     #: Thousandths of a nat an n-gram that a kept document has at least.
@@ -53,18 +53,18 @@ def _grams(n: int) -> str:
     return f"CASE WHEN size(w) > 1 THEN concat({one}, {two}) ELSE {one} END"
 
 
-def trusted_ids(labels: DataFrame, rules: QualityRules) -> DataFrame:
-    ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return ids.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(rules.max_target)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
 def gram_weights(docs: DataFrame, labels: DataFrame, rules: QualityRules) -> list[int]:
     """Weight of each bucket from one pass over all documents."""
-    target = F.broadcast(trusted_ids(labels, rules).withColumn("trusted", F.lit(1)))  # at most max_target ids
+    target = trusted_ids(labels).withColumn("trusted", F.lit(1))
     counted = (
-        docs.select("doc_id", words("text").alias("w"))
+        docs.select("doc_id", "text")
         .join(target, "doc_id", "left")
-        .select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(F.expr(_grams(rules.buckets))).alias("bucket"))
+        .select(F.coalesce("trusted", F.lit(0)).alias("trusted"), words("text").alias("w"))
+        .select("trusted", F.explode(F.expr(_grams(rules.buckets))).alias("bucket"))
         .groupBy("bucket")
         .agg(F.count("*").alias("raw"), F.sum("trusted").alias("target"))
     )

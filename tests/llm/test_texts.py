@@ -54,6 +54,13 @@ def test_quality_keeps_columns_and_rows_that_pass(spark, sf_dir):
     assert quality.keep_good(none, labels).count() == quality.assess(none, labels.limit(0)).count() == 0
 
 
+def test_quality_trusts_every_good_label(spark):
+    """21,000 trusted documents have as many words as all documents, so no weight is other than 0."""
+    docs = spark.range(21_000).selectExpr("id AS doc_id", "concat('w', id % 7) AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality")
+    assert set(quality.gram_weights(docs, labels, quality.QualityRules())) == {0}
+
+
 def test_language_held_out(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs)
