@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import COUNT_WORDS
+from lectern.operators.lineage import survivors
 
 WEIGHTS = (0.5, 0.3, 0.2)
 HIT_CAP = 5
@@ -114,6 +115,36 @@ def greedy_ceiling(ranked: DataFrame, ceiling: float = CEILING) -> DataFrame:
     return ranked.groupBy("query_id").applyInPandas(keep, "query_id bigint, rank int, doc_id bigint")
 
 
+def resolve(ranked: DataFrame, seeds: DataFrame, ceiling: float = CEILING) -> DataFrame:
+    """(query_id, rank, doc_id, suppressed): one row a lineage group, and ungrouped rows under the ceiling.
+
+    ``ranked``: (query_id, rank, doc_id, lineage_group, published_on, embedding);
+    ``seeds``: (query_id, doc_id, lineage_group, embedding), at most one row a query.
+    The seed and its whole group go. The ceiling holds for ungrouped rows only,
+    against what is kept before them and the seed; a query's list is of bounded length.
+    """
+    seed = seeds.select("query_id", F.col("doc_id").alias("seed_id"), F.col("lineage_group").alias("seed_group"), F.col("embedding").alias("seed"))
+    own = F.coalesce(F.col("doc_id") == F.col("seed_id"), F.lit(False)) | F.coalesce(F.col("lineage_group") == F.col("seed_group"), F.lit(False))
+    left = ranked.join(seed, "query_id", "left").where(~own)
+    vectors = left.select("query_id", "doc_id", F.col("lineage_group").isNotNull().alias("grouped"), "embedding", "seed")
+    shown = survivors(left.select("query_id", "rank", "doc_id", "lineage_group", "published_on")).drop("rank").join(vectors, ["query_id", "doc_id"])
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("best_rank").reset_index(drop=True)
+        first = pdf["seed"].iloc[0]
+        unit = _unit(pdf["embedding"].tolist() + ([] if first is None else [first]))
+        against = [] if first is None else [len(pdf)]
+        kept: list[int] = []
+        for i in range(len(pdf)):
+            if pdf["grouped"].iloc[i] or not against or (unit[against] @ unit[i]).max() <= ceiling:
+                kept.append(i)
+                against.append(i)
+        out = pdf.loc[kept, ["query_id", "doc_id", "suppressed"]]
+        return out.assign(rank=np.arange(1, len(out) + 1, dtype=np.int32))
+
+    return shown.groupBy("query_id").applyInPandas(keep, "query_id bigint, rank int, doc_id bigint, suppressed string")
+
+
 def affinity(pairs: DataFrame) -> DataFrame:
     """(session_id, doc_id, affinity): the largest ``sim`` of the session's recent queries, else to its profile, else 0.
 

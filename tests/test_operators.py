@@ -153,6 +153,17 @@ def test_mmr_and_ceiling(spark):
     assert [r.doc_id for r in recommend.greedy_ceiling(ranked).orderBy("rank").collect()] == [1, 3]
 
 
+def test_resolver_drops_seed_group_and_near_ungrouped(spark):
+    # 1: seed; 2: its edition; 3, 4: editions near each other; 5: near the seed; 6: near 4; 7: apart
+    rows = [(d, d, g, f"1998-0{d}-01", angle(a)) for d, g, a in ((1, 1, 0), (2, 1, 40), (3, 3, 90), (4, 3, 91), (5, None, 1), (6, None, 92), (7, None, 150))]
+    rows = [(q, *r) for q in (1, 2) for r in rows]
+    ranked = spark.createDataFrame(rows, "query_id long, rank int, doc_id long, lineage_group long, published_on string, embedding array<double>")
+    seeds = ranked.where("doc_id = 1 AND query_id = 1").select("query_id", "doc_id", "lineage_group", "embedding")
+    got = recommend.resolve(ranked.withColumn("published_on", F.col("published_on").cast("timestamp")), seeds).orderBy("query_id", "rank").collect()
+    assert [(r.rank, r.doc_id, r.suppressed) for r in got if r.query_id == 1] == [(1, 4, "3"), (2, 7, "")]
+    assert [(r.doc_id, r.suppressed) for r in got if r.query_id == 2] == [(2, "1"), (4, "3"), (5, ""), (7, "")]
+
+
 def test_profile_and_recent(spark):
     turns = spark.createDataFrame([("s", 1, [1.0, 0.0]), ("s", 2, [0.0, 1.0]), ("t", 1, [1.0, 1.0])], "session_id string, turn int, embedding array<double>")
     got = {(r.session_id, r.pos): r.value for r in sessions.profile(turns).collect()}
