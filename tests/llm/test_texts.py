@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -172,6 +173,45 @@ def test_redaction_keeps_columns(spark):
     assert [r.text for r in out.orderBy("doc_id").collect()] == ["mail <EMAIL>, card <CARD>.", None, "nothing"]
 
 
+def replaced(text, spans):
+    """Spans (start, stop, kind) by start replaced from the left, overlapping ones as the first."""
+    out, at = [], 0
+    for start, stop, kind in spans:
+        if start >= at:
+            out += [text[at:start], f"<{kind.upper()}>"]
+        at = max(at, stop)
+    return "".join([*out, text[at:]])
+
+
+def test_redaction_matches_brute_force(spark):
+    docs = spark.createDataFrame(list(enumerate(PII_EDGES)), "doc_id long, text string")
+    spans = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in pii.report(docs).collect()}
+    for r in pii.redact(docs).collect():
+        text = PII_EDGES[r.doc_id]
+        assert r.text == (text and replaced(text, [(int(a), int(b), k) for k, a, b in spans[r.doc_id]]))
+
+
+def test_redaction_with_clashing_names(spark):
+    rows = [(1, "a@b.cd", "kept", 2.5, [1], "x"), (None, None, None, None, None, None), (1, "a@b.cd", "kept", 2.5, [1], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __text string, `a.b` double, __pii array<int>, c1 string")
+    out = pii.redact(df)
+    assert out.schema == df.schema
+    assert sorted(map(str, out.collect())) == sorted(str(r).replace("a@b.cd", "<EMAIL>") for r in df.collect())
+    assert pii.redact(df.limit(0)).collect() == []
+
+
+def test_many_addresses_in_one_text_take_linear_passes(spark):
+    """1 MB of addresses: within the time only if no step is repeated for all earlier matches."""
+    n = 70_000
+    text = " ".join(f"a{i}@b{i % 7}.example" for i in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    row = pii.report(df).first()
+    assert row.n_email == n and row.spans.endswith(f":{len(text)}")
+    assert pii.redact(df).first().text == " ".join(["<EMAIL>"] * n)
+    assert time.perf_counter() - began < 20
+
+
 def test_native_plans_have_no_python(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     for df in (pii.report(docs), quality.assess(docs, labels)):
