@@ -1,11 +1,12 @@
-"""Reading of the driver's tables."""
+"""Reading of the driver's tables, and bounded samples to learn from."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.plans.scratch import workers_import_package
 
@@ -21,3 +22,37 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def row_keys(rows: DataFrame) -> DataFrame:
+    """Distinct (id, other columns, h, t, n) of ``rows`` (id, text, ...): hashes of id and text, length; no text moves."""
+    others = [c for c in rows.columns if c != "text"]
+    return rows.select(*others, F.xxhash64("id").alias("h"), F.xxhash64("text").alias("t"), F.length("text").alias("n")).where("n > 0").distinct()
+
+
+def fetch_rows(rows: DataFrame, keys: list[Row], chars: int) -> list[Row]:
+    """The rows of ``keys`` (from :func:`row_keys`), in the order of their hashes.
+
+    Rows that repeat come once. Keys are taken in their order while their texts
+    have at most ``chars`` characters altogether; one that does not fit is passed
+    over, so what reaches the driver is bounded whatever the rows hold.
+    """
+    chosen = []
+    for k in keys:
+        if k.n <= chars:
+            chosen.append(k)
+            chars -= k.n
+    if not chosen:
+        return []
+    others = [c for c in rows.columns if c != "text"]
+    names = [*others, "t"]
+    schema = row_keys(rows).select(*names).schema
+    wanted = rows.sparkSession.createDataFrame([tuple(k[c] for c in names) for k in chosen], schema)
+    found = rows.withColumn("t", F.xxhash64("text")).join(F.broadcast(wanted), names).groupBy(*names).agg(F.first("text").alias("text"))
+    by_key = {tuple(r[c] for c in names): r for r in found.collect()}
+    return [by_key[k] for k in (tuple(k[c] for c in names) for k in chosen) if k in by_key]
+
+
+def sample_rows(rows: DataFrame, most: int, chars: int) -> list[Row]:
+    """At most ``most`` different rows of ``rows`` (id, text, ...), those whose ids hash lowest; see :func:`fetch_rows`."""
+    return fetch_rows(rows, row_keys(rows).orderBy("h", "id", "t").limit(most).collect(), chars)

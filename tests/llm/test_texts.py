@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import html
+import math
 import re
 import time
 import zlib
@@ -13,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import langid, oracles, pii, quality, toxicity
-from lectern.llm.html_text import PageWeights, best_region, extract, learn, main_texts
+from lectern.llm.html_text import INLINE, Extraction, PageWeights, best_region, extract, learn, main_texts, scored
 from lectern.llm.tables import table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -96,12 +98,92 @@ PAGE = """<!DOCTYPE html><html><head><title>T x y z</title><script>var a="</p>";
 five<div class="comments">no no no no</div><form>x <input></form><aside>y</aside>six &lt;b&gt;</article><footer>&copy; z</footer></body></html>"""
 
 
+COMMENTS = '<div class="comments">no no no no</div>'
+#: What weights are learned from: the same page with its comments below the article.
+LABELLED = PAGE.replace(COMMENTS, "").replace("</article>", "</article>" + COMMENTS)
+WANT = "Cats & dogs\nOne two three\nfour five\nsix <b>"
+
+
 def test_html_main_text():
-    weights = learn([PAGE] * 3)
-    want = "Cats & dogs\nOne two three\nfour five\nsix <b>"
-    assert extract(PAGE, weights) == want == extract(PAGE, PageWeights({}, {}))
+    weights = learn([LABELLED] * 3)
+    assert extract(PAGE, weights) == extract(LABELLED, weights) == WANT
     assert [extract(x, weights) for x in (None, "", "<p>", "<script>x", "<!-- a")] == [""] * 5
     assert extract("plain words", weights) == "plain words"
+    # an article inside the article is a reader comment
+    assert extract(PAGE.replace(COMMENTS, "<article><p>no no</p></article>"), weights) == WANT
+
+
+def test_html_weights_and_scan_decide(monkeypatch):
+    from lectern.llm import html_text
+
+    weights = learn([LABELLED] * 3)
+    assert all(w > 0 for w in weights.words.values()) and all(w < 0 for w in weights.tags.values())
+    assert extract(PAGE, PageWeights({}, {})) != WANT
+    level = PageWeights(dict.fromkeys(weights.words, 1.0), dict.fromkeys(weights.tags, -0.1))
+    assert "Home" in extract(PAGE, level)
+    monkeypatch.setattr(html_text, "best_region", lambda scores: (0, len(scores)))
+    assert html_text.extract(PAGE, weights, Extraction(least=-1e9)) != WANT
+
+
+def brute_force_text(page, weights, c=Extraction()):
+    """The text of the region that trying all regions finds, without :func:`best_region`."""
+    sequence, closed = scored(page, weights, c)
+    score = [e[2] for e in sequence]
+    low = [(i, j, inner) for i, j, inner in closed if math.fsum(score[i:j]) < 0]
+    bridged = {k for i, j, inner in low if inner for k in range(i, j)}
+    score = [c.inner_tag if k in bridged else x for k, x in enumerate(score)]
+    spans = [(a, b) for a in range(len(score)) for b in range(a + 1, len(score) + 1)]
+    total = {(a, b): math.fsum(score[a:b]) for a, b in spans}
+    best = max(total.values(), default=0)
+    if best < c.least:
+        return ""
+    a, b = min(s for s in spans if total[s] >= best - 1e-9)
+    gone = {k for i, j, _ in low if a <= i and j <= b for k in range(i, j)}
+    out = [""]
+    for k in range(a, b):
+        kind, value, _ = sequence[k]
+        if kind == "text":
+            out[-1] += "" if k in gone else value
+        elif value == "br":
+            out[-1] += " "
+        elif value not in INLINE:
+            out.append("")
+    return "\n".join(t for t in (" ".join(html.unescape(x).split()) for x in out) if t)
+
+
+def test_html_whole_extraction_matches_brute_force():
+    import random
+
+    rng = random.Random(4)
+    weights = learn([LABELLED] * 3)
+    shapes = ["<p>", "</p>", "<div class=ad>", "</div>", "<nav>", "</nav>", "<ul><li>", "</li></ul>", "<main>", "</main>", "<section>", "</section>", "<br>", "<b>", "</b>", "<footer>", "&amp;", "<", "<x y='"]
+    some = 0
+    for _ in range(300):
+        page = "".join(rng.choice(shapes) if rng.random() < 0.5 else " ".join(["word"] * rng.randint(1, 9)) for _ in range(rng.randint(0, 25)))
+        assert "<article" not in page
+        want = brute_force_text(page, weights)
+        assert extract(page, weights) == want, page
+        some += bool(want)
+    assert some > 200
+
+
+@pytest.mark.parametrize("piece", ['<a b="', "<a ", "<a \">\"", "<div></p>", "</script", "<!--", "<a '\"> \"", "<div>"])
+def test_html_broken_markup_is_read_in_linear_time(piece):
+    page = "some words " + piece * (1_000_000 // len(piece)) + "</p>" * 50_000
+    began = time.perf_counter()
+    extract(page, learn([LABELLED]))
+    assert time.perf_counter() - began < 4
+
+
+def test_html_rows_repeated_long_and_with_other_columns(spark):
+    from lectern.llm.html_text import fit
+
+    long = LABELLED.replace("three", "three " + "many words " * 200_000)
+    rows = [(1, "u", LABELLED, "x", 1), (1, "u", LABELLED, "x", 1), (2, None, long, "y", 2), (3, "v", None, "z", 3), (None, "w", "<p>a b c", "z", 4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = {(r.page_id, r.url): r for r in main_texts(pages, fit(pages)).collect()}
+    assert len(got) == 4 and got[1, "u"].text == WANT and got[3, "v"].text == "" and got[None, "w"].text == "a b c"
+    assert got[2, None].n_chars == len(WANT) + len(" many words" * 200_000)
 
 
 def test_html_region_is_the_best():
