@@ -12,7 +12,8 @@ best one reaches a threshold below which held-back training rows were too often
 wrong.
 
 Cases: a text that is null or holds no letter is ``und`` with score 0 and not
-accepted; equal texts get equal results; without any labelled row every text is
+accepted; equal texts get equal results and of equal probabilities the language
+that sorts first wins; without any labelled row every text is
 ``und``; an empty table gives an empty result; other columns are not read. A text
 is scored whole, whatever its length.
 """
@@ -28,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.tables import slices
+from lectern.llm.tables import fetch_rows, row_keys, slices
 
 _LETTER = regex.compile(r"\p{L}")
 _MULTIPLIER = np.uint32(2654435761)
@@ -37,8 +38,9 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class LanguageModel:
+    #: Rows of the sample, and their characters altogether.
     max_rows: int = 4_000
-    max_chars: int = 20_000
+    sample_chars: int = 30_000_000
     bits: int = 14
     orders: tuple[int, ...] = (2, 3, 4)
     dim: int = 16
@@ -141,18 +143,17 @@ def fit_texts(texts: list[str], langs: list[str], c: LanguageModel) -> FittedLan
 def fit(docs: DataFrame, c: LanguageModel = LanguageModel()) -> FittedLanguages | None:
     """Learns from labelled rows whose crc32 of the id is not 2 modulo 4, the lowest hashes of each language.
 
-    Languages take turns, so each gives as many rows as any other or all it has.
+    Languages take turns, so each gives as many rows as any other or all it has. An
+    id that repeats gives one text for each language it is labelled with. Texts are
+    taken whole; one that would go beyond ``sample_chars`` is passed over.
     """
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
-    rows = rows.where(F.length("text").between(1, c.max_chars))
-    # ids first: the bounded sample is chosen before any text moves
-    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    for keys in (["lang", F.pmod("h", F.lit(256))], ["lang"]):  # lowest of each share first: no task sorts a whole language
-        ids = ids.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("turn") <= c.max_rows)
-    ids = ids.orderBy("turn", "h", "doc_id", "lang").limit(c.max_rows)
-    sample = rows.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("doc_id", "lang", "text").collect()
-    sample = sorted((r.doc_id, r.lang, r.text) for r in sample if _LETTER.search(r.text))
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.crc32(F.col("id").cast("string").cast("binary")) % 4 != 2))
+    keys = row_keys(rows)
+    for by in (["lang", F.pmod("h", F.lit(256))], ["lang"]):  # lowest of each share first: no task sorts a whole language
+        keys = keys.withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy("h", "id"))).where(F.col("turn") <= c.max_rows)
+    picked = keys.orderBy("turn", "h", "id", "lang").limit(c.max_rows).collect()
+    sample = sorted((r.id, r.lang, r.text) for r in fetch_rows(rows, picked, c.sample_chars))
     return fit_texts([t for _, _, t in sample], [lang for _, lang, _ in sample], c)
 
 

@@ -25,15 +25,20 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
 
 
 def row_keys(rows: DataFrame) -> DataFrame:
-    """Distinct (id, other columns, h, t, n) of ``rows`` (id, text, ...): hashes of id and text, length; no text moves."""
+    """(id, other columns, h, t, n) of ``rows`` (id, text, ...): hashes of id and text, and the text's length.
+
+    One text for each id and other columns, the one whose hash is lowest, so an id
+    that repeats counts once. Null and empty texts are left out. No text moves.
+    """
     others = [c for c in rows.columns if c != "text"]
-    return rows.select(*others, F.xxhash64("id").alias("h"), F.xxhash64("text").alias("t"), F.length("text").alias("n")).where("n > 0").distinct()
+    hashed = rows.select(*others, F.xxhash64("id").alias("h"), F.xxhash64("text").alias("t"), F.length("text").alias("n")).where("n > 0")
+    return hashed.groupBy(*others, "h").agg(F.min(F.struct("t", "n")).alias("first")).select(*others, "h", "first.*")
 
 
 def fetch_rows(rows: DataFrame, keys: list[Row], chars: int) -> list[Row]:
     """The rows of ``keys`` (from :func:`row_keys`), in the order of their hashes.
 
-    Rows that repeat come once. Keys are taken in their order while their texts
+    Keys are taken in their order while their texts
     have at most ``chars`` characters altogether; one that does not fit is passed
     over, so what reaches the driver is bounded whatever the rows hold.
     """
@@ -54,5 +59,5 @@ def fetch_rows(rows: DataFrame, keys: list[Row], chars: int) -> list[Row]:
 
 
 def sample_rows(rows: DataFrame, most: int, chars: int) -> list[Row]:
-    """At most ``most`` different rows of ``rows`` (id, text, ...), those whose ids hash lowest; see :func:`fetch_rows`."""
+    """At most ``most`` of ``rows`` (id, text, ...), those whose ids hash lowest; see :func:`row_keys` and :func:`fetch_rows`."""
     return fetch_rows(rows, row_keys(rows).orderBy("h", "id", "t").limit(most).collect(), chars)

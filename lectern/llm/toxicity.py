@@ -23,8 +23,9 @@ Cases: null and empty texts have no window and get the score of that; without
 sample texts of both classes, or if no beginning is more common in toxic ones, the
 score is the share of toxic labels, at most 0.49; any other sample is fitted,
 however small, and one text of a class both trains and calibrates;
-equal texts get equal scores; an empty table gives an empty result; other columns
-pass :func:`keep_ordinary` untouched.
+an id that repeats gives one text, and one with both labels none; equal texts get
+equal scores, and a score of just one half is toxic; an empty table gives an empty
+result; other columns pass :func:`keep_ordinary` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.tables import slices
+from lectern.llm.tables import sample_rows, slices
 
 LEAD = bytes(range(1, 9)) + bytes(range(14, 26))
 TAIL = bytes(range(26, 32)) + b"\x7f\x02\x04"
@@ -53,7 +54,11 @@ LEVELS = 12  # differences are told apart up to this many bytes
 class ToxicityModel:
     toxic_docs: int = 1_500
     ordinary_docs: int = 3_000
+    #: Characters of a sample text, and of all together.
     max_chars: int = 50_000
+    sample_chars: int = 60_000_000
+    #: Words drawn from toxic documents to train on.
+    drawn_words: int = 36_000
     window_words: int = 1
     max_window_chars: int = 64
     ordinary_bytes: int = 16_384
@@ -182,7 +187,7 @@ def fit_texts(toxic: list[str], ordinary: list[str], prior: float, c: ToxicityMo
     marked = toxic_words(t_fit, known)
     if not marked:
         return empty
-    drawn = rng.choices([w.encode() for w in marked], list(marked.values()), k=36_000)
+    drawn = rng.choices([w.encode() for w in marked], list(marked.values()), k=c.drawn_words)
     toxic_samples = [b" " + b" ".join(drawn[i : i + 12]) + b" " for i in range(0, len(drawn), 12)]
     # the more a word speaks for toxic documents, the fewer of its places train the ordinary dictionary
     places = Counter(w for x in o_fit for w in windows(x, c))
@@ -209,16 +214,19 @@ def fit_texts(toxic: list[str], ordinary: list[str], prior: float, c: ToxicityMo
 
 def fit(docs: DataFrame, labels: DataFrame, c: ToxicityModel = ToxicityModel()) -> Fitted:
     """Learns from labelled rows whose crc32 of the id is no multiple of five."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    # an id with both labels says nothing
+    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").alias("id"))
+    known = known.agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
+    known = known.where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
     share = known.agg(F.avg("toxic")).first()[0]
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    order = [F.xxhash64("id"), F.col("id")]
     sides = [known.where(F.col("toxic") == k).orderBy(*order).limit(n) for k, n in ((1, c.toxic_docs), (0, c.ordinary_docs))]
     picked = F.broadcast(sides[0].unionByName(sides[1]))  # at most toxic_docs + ordinary_docs ids
-    short = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text").between(1, c.max_chars))
-    rows = sorted((r.doc_id, r.toxic, r.text) for r in short.join(picked, "doc_id").collect())
-    random.Random(7).shuffle(rows)
-    texts = {k: [t for _, label, t in rows if label == k] for k in (0, 1)}
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= c.max_chars)
+    sample = sample_rows(rows.join(picked, "id"), c.toxic_docs + c.ordinary_docs, c.sample_chars)
+    found = sorted((r.id, r.toxic, r.text) for r in sample)
+    random.Random(7).shuffle(found)
+    texts = {k: [t for _, label, t in found if label == k] for k in (0, 1)}
     return fit_texts(texts[1], texts[0], min(max(share or 0.0, 0.01), 0.49), c)
 
 
@@ -257,4 +265,5 @@ def keep_ordinary(docs: DataFrame, model: Fitted) -> DataFrame:
         for b in slices(batches):
             yield b.filter(pa.array(scorer.scores(b.column(at).to_pylist()) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)

@@ -373,6 +373,58 @@ def test_toxicity_table(spark, sf_dir):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_scores_match_zstandard(spark):
+    """Scores from compressing each window alone, on texts of many kinds."""
+    import zstandard
+
+    toxic, ordinary = toy_texts(1)
+    model = toxicity.fit_texts(toxic[:40], ordinary[:80], 0.3, toxicity.ToxicityModel())
+    c = model.config
+
+    def size(content, window):
+        d = zstandard.ZstdCompressionDict(content + toxicity.LEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=c.level)
+        z = zstandard.ZstdCompressor(level=c.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(z.compress(toxicity.LEAD + b" " + window.encode() + b" " + toxicity.TAIL))
+
+    def brute(text):
+        saved = []
+        for w in (text or "").lower().split():
+            for piece in (w[i : i + c.max_window_chars] for i in range(0, len(w), c.max_window_chars)):
+                saved.append(min(max(size(model.ordinary, piece) - size(model.toxic, piece), 0), toxicity.LEVELS))
+        x = [math.log1p(sum(v >= k for v in saved)) for k in range(2, 9)] + [max(saved, default=0) / 4, math.log1p(len(saved)), 1.0]
+        return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights, strict=True))))
+
+    texts = [None, "", " \n", "grumblish", "é" * 200, *toxic[40:44], *ordinary[80:84], "Snarkable " * 3]
+    rows = [(i, t, "clash", 0.5, -1) for i, t in enumerate(texts)] + [(1, texts[5], "again", 0.5, -1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, score double, predicted int")
+    got = sorted((r.doc_id, r.score) for r in toxicity.score(docs, model).collect())
+    want = sorted((r[0], brute(r[1])) for r in rows)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(got, want, strict=True))
+    kept = toxicity.keep_ordinary(docs, model)
+    assert kept.schema == docs.schema and kept.count() == sum(p < 0.5 for _, p in want)
+    # a text of a million words counts all of them
+    long = " ".join(["balo"] * 1_000_000 + ["grumblish", "snarkable"] * 2_000)
+    counts = toxicity.Scorer(model).compare.document(long)
+    assert counts.sum() == 1_004_000 and counts[2:].sum() >= 2_000
+
+
+def test_samples_are_bounded_and_deterministic(spark):
+    from lectern.llm.tables import sample_rows
+
+    rows = [(1, f"text {i} of one id", 0) for i in range(500)] + [(i, f"text of {i}", i % 2) for i in range(2, 60)] + [(2, None, 0), (3, "", 1)]
+    df = spark.createDataFrame(rows, "id long, text string, toxic int")
+    got = sample_rows(df, 20, 10_000)
+    assert got == sample_rows(df.repartition(7, "text"), 20, 10_000) and len(got) == 20 == len({r.id for r in got})
+    assert sum(len(r.text) for r in sample_rows(df, 1_000, 100)) <= 100
+    assert sample_rows(df.limit(0), 5, 5) == []
+    labels = spark.createDataFrame([(i, t) for i in range(40) for t in ([0, 1] if i % 4 == 0 else [i % 2])], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, "vile " * 30 if i % 2 else "nice " * 30) for i in range(40)], "doc_id long, text string")
+    again = labels.orderBy(F.desc("doc_id"), "toxic").repartition(3)
+    assert toxicity.fit(docs, labels) == toxicity.fit(docs.repartition(5), again)
+
+
 @pytest.mark.parametrize("name", ["op1_quality_rules", "op5_personal_data", "op7_embedding_dedup"])
 def test_oracles(spark, sf_dir, name):
     from lectern.llm import queries
