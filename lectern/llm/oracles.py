@@ -20,9 +20,7 @@ grams AS (
   SELECT doc_id, p || ' ' || w FROM (SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM tok)
   WHERE p IS NOT NULL),
 hashed AS (SELECT g, {CRC32} % 10000 AS bucket FROM (SELECT DISTINCT g FROM grams)),
-ids AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS g FROM (
-  SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL)),
-trusted AS (SELECT doc_id FROM (SELECT doc_id, {CRC32} AS h FROM ids) ORDER BY h, doc_id LIMIT 20000),
+trusted AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL),
 placed AS (SELECT doc_id, bucket FROM grams JOIN hashed USING (g)),
 counted AS (
   SELECT bucket, count(*) AS raw, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM trusted)) AS target

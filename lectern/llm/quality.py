@@ -6,18 +6,21 @@ of its n-grams' weights over the number of its n-grams, and every document is
 held to one fixed threshold. Weights are whole thousandths of a nat, so sums are
 exact in any order and the verdict is deterministic.
 
-Trusted documents are all of those labelled as good; how their ids are joined is
-left to Spark and its size check. Everything counted covers all rows. The weight
-table has ``buckets`` entries.
+Trusted documents are all of those labelled as good. Their ids are counted first:
+up to ``broadcast_ids`` of them are broadcast, more are joined by a shuffle, with
+the same result. Everything counted covers all rows. The weight table has
+``buckets`` entries.
 
 Everything is DataFrame functions: the work on one text stays inside its row, so
 scoring needs no shuffle. Counting shuffles one row a bucket and task, and the
 texts once where the trusted ids are too many to broadcast.
 
 Cases: a null text, an empty one and one of white space have no words and fail
-the base rules; equal rows get equal verdicts; with no trusted document the
-target is uniform; an empty table gives an empty result; other columns are
-ignored by :func:`assess`.
+the base rules; a text is read whole, whatever its length; equal rows and ties
+get equal verdicts, and a document at the threshold is kept; rows that share an
+id are judged each by its own text; with no trusted document the target is
+uniform; an empty table gives an empty result; other columns are ignored by
+:func:`assess` and kept by :func:`keep_good`, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ class QualityRules:
     max_repeat_percent: int = 50
     #: Thousandths of a nat an n-gram that a kept document has at least.
     threshold: int = -60
+    #: Most trusted ids that are broadcast, about 60 bytes each; beyond it they are shuffled.
+    broadcast_ids: int = 1_000_000
 
 
 def words(text: str) -> Column:
@@ -59,7 +64,9 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def gram_weights(docs: DataFrame, labels: DataFrame, rules: QualityRules) -> list[int]:
     """Weight of each bucket from one pass over all documents."""
-    target = trusted_ids(labels).withColumn("trusted", F.lit(1))
+    ids = trusted_ids(labels)
+    few = ids.count() <= rules.broadcast_ids
+    target = (F.broadcast(ids) if few else ids.hint("merge")).withColumn("trusted", F.lit(1))
     counted = (
         docs.select("doc_id", "text")
         .join(target, "doc_id", "left")
@@ -86,6 +93,8 @@ def gram_weights(docs: DataFrame, labels: DataFrame, rules: QualityRules) -> lis
 def base_rules(df: DataFrame, rules: QualityRules) -> DataFrame:
     """Adds the base columns to ``df`` (doc_id, text, w and any others)."""
     windows = "transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))"
+    # words hold no space, so joined windows are equal only where their words are
+    placed = "transform(sequence(0, size(w) - 3), i -> struct(concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS x, i AS i))"
     lines = f"filter(split(coalesce(text, ''), '\\n'), l -> l RLIKE '[^\\\\x20\\\\x09-\\\\x0D]')"
     df = df.select(
         *df.columns,
@@ -98,11 +107,8 @@ def base_rules(df: DataFrame, rules: QualityRules) -> DataFrame:
     df = df.select(
         *[c for c in df.columns if c != "lines"],
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
-        # only a text in which some window repeats is looked at further
-        F.expr(
-            "CASE WHEN size(array_distinct(h)) < size(h) "
-            "THEN sort_array(transform(h, (x, i) -> struct(x AS x, i AS i))) ELSE array() END"
-        ).alias("s"),
+        # only a text in which some window's hash repeats is looked at further, by its words
+        F.expr(f"CASE WHEN size(array_distinct(h)) < size(h) THEN sort_array({placed}) ELSE array() END").alias("s"),
     )
     again = "filter(s, (e, j) -> (j > 0 AND s[j - 1].x = e.x) OR (j < size(s) - 1 AND s[j + 1].x = e.x))"
     df = df.withColumn("r", F.expr(f"sort_array(transform({again}, e -> e.i))"))
@@ -120,7 +126,7 @@ def base_rules(df: DataFrame, rules: QualityRules) -> DataFrame:
 def _judge(df: DataFrame, weights: list[int], rules: QualityRules) -> DataFrame:
     """Adds all counts and the verdict to ``df`` (doc_id, text and any others)."""
     table = F.expr("split('" + ",".join(map(str, weights)) + "', ',')").cast("array<bigint>")
-    n = rules.buckets
+    n, given = rules.buckets, df.columns
     df = base_rules(df.withColumn("w", words("text")), rules)
     total = (
         f"aggregate(w, 0L, (a, x) -> a + weights[crc32(CAST(x AS BINARY)) % {n}]) + CASE WHEN size(w) > 1 THEN "
@@ -128,12 +134,13 @@ def _judge(df: DataFrame, weights: list[int], rules: QualityRules) -> DataFrame:
         f"a + weights[crc32(CAST(concat_ws(' ', w[i - 1], w[i]) AS BINARY)) % {n}]) ELSE 0L END"
     )
     df = df.withColumn("weights", table).withColumn("llr_sum", F.expr(total)).drop("weights", "w")
-    n_grams = F.greatest(2 * F.col("n_words") - 1, F.lit(0))
-    # A filter on the result stays above this random column: pushed below the counts, each
-    # use of one would become a copy of all that made it.
-    df = df.withColumn("n_grams", n_grams).withColumn("after", F.rand(0))
-    kept = ~F.col("base_failed") & (F.col("llr_sum") >= rules.threshold * F.col("n_grams")) & (F.col("after") >= 0)
-    return df.withColumn("kept", kept).drop("after")
+    df = df.withColumn("n_grams", F.greatest(2 * F.col("n_words") - 1, F.lit(0)))
+    kept = ~F.col("base_failed") & (F.col("llr_sum") >= rules.threshold * F.col("n_grams"))
+    df = df.withColumn("kept", kept)
+    # The counts leave through a generator: a filter on them stays above it. Pushed below,
+    # each use of a count in it would become a copy of all that made it.
+    made = [c for c in df.columns if c not in given]
+    return df.select(*given, F.explode(F.array(F.struct(*made))).alias("judged")).select(*given, "judged.*")
 
 
 def assess(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
@@ -144,7 +151,9 @@ def assess(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRule
 
 def keep_good(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns, whatever those are called."""
-    text = F.col("text").cast("string").alias("text")
-    weights = gram_weights(docs.select("doc_id", text), labels, rules)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", text)
-    return _judge(packed, weights, rules).where("kept").select("row.*")
+    names = docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text, key = (F.col(f"c{names.index(c)}") for c in ("text", "doc_id"))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), key.alias("doc_id"), text.cast("string").alias("text"))
+    judged = _judge(packed, gram_weights(packed.select("doc_id", "text"), labels, rules), rules)
+    return judged.where("kept").select("row.*").toDF(*names)
