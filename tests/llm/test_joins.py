@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import Row
 
 import corpus_pipeline
-from lectern.llm.embedding_dedup import RangeJoin, cells, choose_pivots, near_duplicates, unit
+from lectern.llm.embedding_dedup import RangeJoin, choose_cells, near_duplicates, unit
 from lectern.llm.jaccard import JaccardJoin, keep_one, similar_components
 from lectern.llm.tables import table
 from lectern.plans.components import connected_components
@@ -39,15 +40,20 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
 
 
-def test_cells_lose_no_neighbour():
+@pytest.mark.parametrize("cosine", [0.93, 0.5, -0.2])
+def test_cells_lose_no_neighbour(cosine):
     rng = np.random.default_rng(1)
     base = unit(rng.normal(size=(60, 8)))
-    vectors = unit(np.concatenate([base + rng.normal(scale=0.12, size=base.shape) for _ in range(4)]))
-    pivots = choose_pivots(vectors, 7)
-    home, visits = cells(vectors, pivots, np.sqrt(2 - 2 * 0.93))
-    near = vectors @ vectors.T >= 0.93
-    for x, y in zip(*np.nonzero(near), strict=True):
-        assert visits[x, home[y]]
+    vectors = unit(np.concatenate([base + rng.normal(scale=0.12, size=base.shape) for _ in range(4)] + [base[:1] + rng.normal(scale=0.03, size=(60, 8))]))
+    cells = choose_cells(vectors[::2], 7, RangeJoin(cosine=cosine, dense=3))
+    assert len(cells.balls) > 1 and len(cells.pivots) > 1
+    home, angle = cells.homes(vectors)
+    low, high = (np.array([f(angle[home == k], initial=e) for k in range(len(cells.balls) + len(cells.pivots))]) for f, e in ((np.min, np.inf), (np.max, -np.inf)))
+    visits = cells.visits(vectors, home, low, high)
+    for x, y in zip(*np.nonzero(vectors @ vectors.T >= cosine), strict=True):
+        assert home[x] >= home[y] or visits[x, home[y]]
+    if cosine == 0.93:  # dense cells are visited by few
+        assert visits[:, : len(cells.balls)].mean() < 0.4
 
 
 def vectors_table(spark):
@@ -74,7 +80,7 @@ def test_embedding_join_matches_brute_force(spark):
     ]
     comp = components([r[0] for r in rows], links)
     want = {i: (sum(a == i for a, _ in links), comp[i], comp[i] == i) for i, _, _ in rows}
-    for p in (RangeJoin(), RangeJoin(owners_a_block=4, visitors_a_block=7)):
+    for p in (RangeJoin(), RangeJoin(owners_a_block=4, visitors_a_block=7), RangeJoin(cell_vectors=5, owners_a_block=3, visitors_a_block=2, ball=0.4, dense=2)):
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicates(df, Scratch(spark, "t"), p).collect()}
         assert got == want
     assert any(v[0] > 5 for v in want.values())
