@@ -34,12 +34,17 @@ def bucket(token: Column, dim: int) -> Column:
 
 
 def hash_embedding(df: DataFrame, key: list[str], tokens: str, dim: int = 64) -> DataFrame:
-    """(key, embedding): token counts by bucket as an array<double> of ``dim``; no tokens give zeros."""
-    counted = df.select(*key, F.explode_outer(tokens).alias("t")).select(*key, bucket(F.col("t"), dim).alias("b"))
-    counted = counted.groupBy(*key, "b").agg(F.count("b").cast("double").alias("n"))
-    filled = counted.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "n")))).alias("m"))
-    value = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("bigint")), F.lit(0.0)))
-    return filled.select(*key, value.alias("embedding"))
+    """(key, embedding): token counts by bucket as an array<double> of ``dim``; no tokens give zeros.
+
+    One row for each row of ``df``; the counting stays inside the row.
+    """
+    buckets = F.transform(F.coalesce(F.col(tokens), F.array().cast("array<string>")), lambda t: bucket(t, dim).cast("int"))
+    # an array of one stands for the buckets, so that they are made once a row
+    value = F.transform(
+        F.array(buckets),
+        lambda b: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.size(b) - F.size(F.array_remove(b, i))).cast("double")),
+    )
+    return df.select(*key, value[0].alias("embedding"))
 
 
 def centroid(df: DataFrame, key: str, vector: str, n_dims: str = "pos") -> DataFrame:

@@ -34,31 +34,41 @@ def dense_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK)
     """
     if k < 1:
         return queries.sparkSession.createDataFrame([], "query_id bigint, rank int, id bigint, score double")
+    return weighted_topk(queries, rows.withColumn("bonus", F.lit(0.0)), k, 1.0, block).select("query_id", "rank", "id", "score")
+
+
+def weighted_topk(queries: DataFrame, rows: DataFrame, k: int, weight: float, block: int = BLOCK) -> DataFrame:
+    """(query_id, rank, id, score, sim): the best K by ``weight`` times the cosine plus the row's ``bonus``.
+
+    ``queries`` and ``rows`` as in :func:`dense_topk`, rows with ``bonus`` (double).
+    """
     queries, rows = queries.where("vector IS NOT NULL"), rows.where("vector IS NOT NULL")
     n_q, n_r = (-(-df.count() // block) or 1 for df in (queries, rows))
-    q = _dealt(queries.select(F.col("query_id").cast("bigint"), "vector", F.col("scope").cast("string").alias("scope")), "query_id", n_q)
-    r = _dealt(rows.select(F.col("id").cast("bigint"), "vector", F.col("scope").cast("string").alias("scope")), "id", n_r)
     kind = "array<double>"
-    q = q.select(F.col("query_id").alias("key"), F.col("vector").cast(kind), "scope", F.lit(True).alias("asks"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).alias("j"))
-    r = r.select(F.col("id").alias("key"), F.col("vector").cast(kind), "scope", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("i"), F.col("block").alias("j"))
+    vector, scope = F.col("vector").cast(kind).alias("vector"), F.col("scope").cast("string").alias("scope")
+    q = _dealt(queries.select(F.col("query_id").cast("bigint").alias("key"), vector, scope), "key", n_q)
+    r = _dealt(rows.select(F.col("id").cast("bigint").alias("key"), vector, scope, F.col("bonus").cast("double").alias("bonus")), "key", n_r)
+    q = q.select("key", "vector", "scope", F.lit(0.0).alias("bonus"), F.lit(True).alias("asks"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).alias("j"))
+    r = r.select("key", "vector", "scope", "bonus", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("i"), F.col("block").alias("j"))
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("key")
         out = []
         if len(a) and len(b):
-            scores = np.round(_unit(a["vector"]) @ _unit(b["vector"]).T, 6) + 0.0
+            sims = _unit(a["vector"]) @ _unit(b["vector"]).T
+            scores = np.round(weight * sims + b["bonus"].to_numpy(), 6) + 0.0
             ids, scope = b["key"].to_numpy(), b["scope"].to_numpy()
             for n, (key, wanted) in enumerate(zip(a["key"], a["scope"], strict=True)):
                 s = scores[n] if wanted is None else np.where(scope == wanted, scores[n], -np.inf)
                 top = np.argsort(-s, kind="stable")[:k]
                 top = top[s[top] > -np.inf]
-                out.append(pd.DataFrame({"query_id": key, "id": ids[top], "score": s[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+                out.append(pd.DataFrame({"query_id": key, "id": ids[top], "score": s[top], "sim": sims[n][top]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": [], "sim": []})
 
-    found = q.unionByName(r).groupBy("i", "j").applyInPandas(product, "query_id bigint, id bigint, score double")
+    found = q.unionByName(r).groupBy("i", "j").applyInPandas(product, "query_id bigint, id bigint, score double, sim double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "id", "score")
+    return ranked.select("query_id", "rank", "id", "score", "sim")
 
 
 def pairs_in_blocks(queries: DataFrame, rows: DataFrame, key: str, block: int = 256) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import search_terms
+from lectern.interfaces import Grader
 
 
 def rrf(lists: DataFrame, k: int = 60) -> DataFrame:
@@ -21,12 +22,14 @@ def diversity_cap(ranked: DataFrame, k: int = 6, per_doc: int = 4) -> DataFrame:
     """First ``per_doc`` of each document in rank order, then the passed-over ones, up to ``k``.
 
     ``ranked``: (query_id, rank, id, doc). Adds ``place``; fewer than ``k`` rows
-    remain only where there are fewer.
+    remain only where there are fewer. Where a column ``scope`` holds the one
+    document a query is restricted to, the first ``k`` stay as they are.
     """
     if per_doc < 1:
         raise ValueError("at least one passage a document is needed")
     in_doc = Window.partitionBy("query_id", "doc").orderBy("rank")
-    capped = ranked.withColumn("over_cap", (F.row_number().over(in_doc) > per_doc).cast("int"))
+    over = F.row_number().over(in_doc) > per_doc
+    capped = ranked.withColumn("over_cap", (over & F.col("scope").isNull() if "scope" in ranked.columns else over).cast("int"))
     place = Window.partitionBy("query_id").orderBy("over_cap", "rank")
     return capped.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k).drop("over_cap")
 
@@ -46,16 +49,25 @@ def rerank(ranked: DataFrame, grades: DataFrame, k: int) -> DataFrame:
     return graded.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def hybrid(dense: DataFrame, lexical: DataFrame, queries: DataFrame, rows: DataFrame, shortlist: int = 10, k: int = 6, per_doc: int = 4) -> DataFrame:
+def passthrough(ranked: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` in their order, as a reranker that changes nothing."""
+    return ranked.where(F.col("rank") <= k).withColumn("place", F.col("rank"))
+
+
+def hybrid(
+    dense: DataFrame, lexical: DataFrame, queries: DataFrame, rows: DataFrame, shortlist: int = 10, k: int = 6, per_doc: int = 4, grader: Grader = term_coverage
+) -> DataFrame:
     """Fuses two ranked lists, grades the shortlist and caps it by document.
 
-    ``rows``: (id, doc, text); ``queries``: (query_id, text). The grader sees the
-    shortlist only.
+    ``rows``: (id, doc, text); ``queries``: (query_id, text), with ``scope`` where
+    some are restricted to one document, which the cap then leaves alone. The grader
+    sees the shortlist only.
     """
     columns = ["query_id", "rank", "id"]
     lists = dense.select(*columns, F.lit(0).alias("list_no")).unionByName(lexical.select(*columns, F.lit(1).alias("list_no")))
     fused = rrf(lists).where(F.col("rank") <= shortlist)
     seen = fused.join(rows.withColumnRenamed("text", "passage"), "id").join(queries.withColumnRenamed("text", "question"), "query_id")
-    grades = seen.select("query_id", "id", "doc", term_coverage("question", "passage").alias("grade"))
-    ordered = rerank(fused, grades, shortlist).select("query_id", F.col("place").alias("rank"), "id", "doc", "grade")
+    about = ["doc", "scope"] if "scope" in queries.columns else ["doc"]
+    grades = seen.select("query_id", "id", *about, grader("question", "passage").alias("grade"))
+    ordered = rerank(fused, grades, shortlist).select("query_id", F.col("place").alias("rank"), "id", *about, "grade")
     return diversity_cap(ordered, k, per_doc)

@@ -36,6 +36,13 @@ def bm25(queries: DataFrame, rows: DataFrame, k1: float = 1.2, b: float = 0.75)
     return hits.groupBy("query_id", "id").agg(F.round(F.sum(F.col("qtf") * idf * tf), 6).alias("score"))
 
 
+def within_scope(scores: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """Scores of the rows (id, doc) that a query (query_id, scope) is not barred from; before any top K."""
+    asked, owners = queries.select("query_id", "scope"), rows.select("id", "doc")
+    kept = scores.join(asked, "query_id").join(owners, "id").where(F.col("scope").isNull() | (F.col("scope") == F.col("doc")))
+    return kept.select("query_id", "id", "score")
+
+
 def top(scores: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, id, score): the best K, ties to the smaller id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

@@ -53,15 +53,19 @@ def survivors(ranked: DataFrame) -> DataFrame:
     """Ranked (query_id, rank, doc_id, lineage_group, published_on) with one row a group.
 
     A group appears at the rank of its best member and shows its newest one (ties:
-    smaller id), with the ids it stands for. Without a group a row stays as it is.
+    smaller id), with the ids it stands for, and those as structs (doc_id,
+    published_on) in rank order. Without a group a row stays as it is.
     """
     alone = F.col("lineage_group").isNull()
     group = F.when(alone, F.concat(F.lit("d"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("g"), F.col("lineage_group").cast("string")))
     newest = F.struct(F.unix_micros(F.col("published_on").cast("timestamp")).alias("at"), (-F.col("doc_id")).alias("neg"))
     out = ranked.withColumn("key", group).groupBy("query_id", "key").agg(
-        F.min("rank").alias("best_rank"), F.max(newest).alias("top"), F.sort_array(F.collect_list("doc_id")).alias("members")
+        F.min("rank").alias("best_rank"), F.max(newest).alias("top"), F.sort_array(F.collect_list("doc_id")).alias("members"),
+        F.sort_array(F.collect_list(F.struct("rank", "doc_id", "published_on"))).alias("listed"),
     )
     doc = (-F.col("top.neg")).alias("doc_id")
-    out = out.select("query_id", "best_rank", doc, "members").withColumn("suppressed", F.array_join(F.array_remove("members", F.col("doc_id")), ","))
+    out = out.select("query_id", "best_rank", doc, "members", "listed").withColumn("suppressed", F.array_join(F.array_remove("members", F.col("doc_id")), ","))
+    older = F.filter("listed", lambda x: x["doc_id"] != F.col("doc_id"))
+    out = out.withColumn("superseded", F.transform(older, lambda x: F.struct(x["doc_id"].alias("doc_id"), x["published_on"].alias("published_on"))))
     order = Window.partitionBy("query_id").orderBy("best_rank")
-    return out.select("query_id", F.row_number().over(order).alias("rank"), "best_rank", "doc_id", "suppressed")
+    return out.select("query_id", F.row_number().over(order).alias("rank"), "best_rank", "doc_id", "suppressed", "superseded")

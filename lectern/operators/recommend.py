@@ -116,7 +116,7 @@ def greedy_ceiling(ranked: DataFrame, ceiling: float = CEILING) -> DataFrame:
 
 
 def resolve(ranked: DataFrame, seeds: DataFrame, ceiling: float = CEILING) -> DataFrame:
-    """(query_id, rank, doc_id, suppressed): one row a lineage group, and ungrouped rows under the ceiling.
+    """(query_id, rank, doc_id, suppressed, superseded): one row a lineage group, and ungrouped rows under the ceiling.
 
     ``ranked``: (query_id, rank, doc_id, lineage_group, published_on, embedding);
     ``seeds``: (query_id, doc_id, lineage_group, embedding), at most one row a query.
@@ -139,10 +139,11 @@ def resolve(ranked: DataFrame, seeds: DataFrame, ceiling: float = CEILING) -> Da
             if pdf["grouped"].iloc[i] or not against or (unit[against] @ unit[i]).max() <= ceiling:
                 kept.append(i)
                 against.append(i)
-        out = pdf.loc[kept, ["query_id", "doc_id", "suppressed"]]
+        out = pdf.loc[kept, ["query_id", "doc_id"]]
         return out.assign(rank=np.arange(1, len(out) + 1, dtype=np.int32))
 
-    return shown.groupBy("query_id").applyInPandas(keep, "query_id bigint, rank int, doc_id bigint, suppressed string")
+    kept = shown.groupBy("query_id").applyInPandas(keep, "query_id bigint, rank int, doc_id bigint")
+    return kept.join(shown.select("query_id", "doc_id", "suppressed", "superseded"), ["query_id", "doc_id"])
 
 
 def affinity(pairs: DataFrame) -> DataFrame:
@@ -156,6 +157,20 @@ def affinity(pairs: DataFrame) -> DataFrame:
     return best.select("session_id", "doc_id", F.round(F.coalesce("q", "p", F.lit(0.0)), 6).alias("affinity"))
 
 
+def affinity_ranking(affinities: DataFrame) -> DataFrame:
+    """Adds ``rank``: documents of a session by affinity, ties to the smaller id."""
+    order = Window.partitionBy("session_id").orderBy(F.desc("affinity"), "doc_id")
+    return affinities.withColumn("rank", F.row_number().over(order))
+
+
+def breakdown() -> Column:
+    """The numbers behind a reason in one line."""
+    a, b, c = (f"{w:.2f}".rstrip("0").rstrip(".") for w in WEIGHTS)
+    return F.format_string(
+        f"docSim=%.3f*{a} chunkAgg=%.3f*{b} recency=%.3f*{c} hits=%d bestRank=%d", "doc_sim", "chunk_aggregate", "recency", F.col("chunk_hits").cast("int"), F.col("best_rank").cast("int")
+    )
+
+
 def topic_overlap(topics: Column, context: Column) -> Column:
     """The document's topics, in its order, that the context has too, ignoring case."""
     lowered = F.transform(context, F.lower)
@@ -172,7 +187,7 @@ def reason(c: dict[str, Column]) -> Column:
 
     Columns: doc_sim, chunk_aggregate, recency, chunk_hits, first_page, last_page,
     topics, context_topics, published_on, recent_queries, superseded (array of
-    structs doc_id, published_on).
+    structs doc_id, published_on). The sentences are fixed values.
     """
     a, b, r = (w * c[k] for w, k in zip(WEIGHTS, ("doc_sim", "chunk_aggregate", "recency"), strict=True))
     overlap = topic_overlap(c["topics"], c["context_topics"])

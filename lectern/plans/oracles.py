@@ -72,7 +72,7 @@ short AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 asked AS (SELECT item_id AS query_id, list_distinct({_terms("text")}) AS ts FROM benchmark),
 graded AS (
   SELECT s.query_id, s.id, s.rank, d.source AS doc,
-    CASE WHEN len(ts) > 0 THEN round(10.0 * len(list_intersect(ts, {_terms("substr(d.text, 1, 4000)")})) / len(ts), 6) ELSE 0.0 END AS grade
+    CASE WHEN len(ts) > 0 THEN round(10.0 * len(list_intersect(ts, {_terms("d.text")})) / len(ts), 6) ELSE 0.0 END AS grade
   FROM short s JOIN asked USING (query_id) JOIN documents d ON d.doc_id = s.id),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, rank) AS r2 FROM graded),
 capped AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc ORDER BY r2) > 4 AS over FROM ordered),
@@ -178,8 +178,10 @@ _MICROS = "round(1000 * value)::BIGINT"
 
 
 def oracle_sql() -> dict[str, str]:
+    from lectern.plans import tool_oracles
+
     tokens = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
-    return {
+    return tool_oracles.oracle_sql() | {
         "dense_topk": _dense("true", 20),
         "dense_topk_filtered": _dense("q.label = r.label", 20),
         "bm25_topk": f"WITH {_bm25(20)} SELECT query_id, CAST(rank AS INT) AS rank, id, score FROM bm",
@@ -230,8 +232,8 @@ SELECT r_regionkey AS table_id, '| ' || r_name || ' | ' || r_name || ' |' || chr
   string_agg('| ' || n_nationkey || ' | ' || n_name || '\\|x |', chr(10) ORDER BY n_nationkey) AS markdown
 FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name""",
         "pii_redact_base": """
-SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}', '[email]', 'g'),
-  '\\b\\d{3}-\\d{2}-\\d{4}\\b', '[ssn]', 'g'), '\\b\\d(?:[ -]?\\d){12,15}\\b', '[card]', 'g')) AS redacted_md5 FROM documents""",
+SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}', '[email redacted]', 'g'),
+  '\\b\\d{3}-\\d{2}-\\d{4}\\b', '[id redacted]', 'g'), '\\b\\d(?:[ -]?\\d){12,15}\\b', '[number redacted]', 'g')) AS redacted_md5 FROM documents""",
         "citation_guard": """
 WITH c AS (SELECT conv_id AS answer_id, bool_or(turn = 0) AS p1, bool_or(turn = 2) AS p3 FROM conversations GROUP BY 1),
 t AS (

@@ -366,4 +366,6 @@ def queries() -> dict[str, Query]:
         "pii_redact_base citation_guard centroid lineage_groups near_dup_groups rec_score rec_reasons mmr_topk lambda_sweep dedup_ceiling "
         "recent_queries session_profile affinity turn_metrics rec_metrics catalogue_coverage intra_list_diversity duplicate_leakage ablation_pivot event_windows"
     )
-    return {n: globals()[n] for n in names.split()}
+    from lectern.plans import tool_queries
+
+    return {n: globals()[n] for n in names.split()} | tool_queries.queries()

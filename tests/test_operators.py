@@ -182,7 +182,7 @@ def test_cost(spark):
 
 
 def test_redaction(spark):
-    cases = {"a@b.co and 4111 1111 1111 1111": "[email] and [card]", "123-45-6789": "[ssn]", "+44 20 7946 0958 x": "[phone] x", "SP 800-207 d516": "SP 800-207 d516"}
+    cases = {"a@b.co and 4111 1111 1111 1111": "[email redacted] and [number redacted]", "123-45-6789": "[id redacted]", "+44 20 7946 0958 x": "[number redacted] x", "SP 800-207 d516": "SP 800-207 d516"}
     for text, want in cases.items():
         assert one(spark, tx.redact(F.lit(text))) == want
 

@@ -37,14 +37,6 @@ def test_query(spark, sf_dir, duck, name):
     assert sorted(tuple(map(plain, r)) for r in df.select(*columns).collect()) == want and want
 
 
-def test_hybrid_grades_whole_texts(spark, sf_dir, duck):
-    """The oracle's SQL with its 4,000-character prefix taken out."""
-    duck.execute(oracle_sql()["hybrid_topk"].replace("substr(d.text, 1, 4000)", "d.text"))
-    columns = [c[0] for c in duck.description]
-    want = sorted(tuple(map(plain, r)) for r in duck.fetchall())
-    assert sorted(tuple(map(plain, r)) for r in queries()["hybrid_topk"](spark, sf_dir).select(*columns).collect()) == want and want
-
-
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(oracle_sql()) <= set(__spark_entry__.queries())

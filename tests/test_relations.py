@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
 from lectern.functions import text as tx
@@ -36,19 +34,16 @@ def test_survivors_leak_no_group(spark, sf_dir):
             seen.add((r.query_id, groups[r.doc_id]))
 
 
-def test_redaction_against_python(spark, sf_dir):
-    steps = [
-        (r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "[email]"),
-        (r"\b\d{3}-\d{2}-\d{4}\b", "[ssn]"),
-        (r"\b\d(?:[ -]?\d){12,15}\b", "[card]"),
-        (r"(?<![\w.-])\+?\d(?:[ -.]?\(?\d\)?){8,13}(?!\w)", "[phone]"),
-    ]
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    changed = 0
-    for r in docs.select("text", tx.redact(docs.text).alias("redacted")).collect():
-        want = r.text
-        for pattern, mark in steps:
-            want = re.sub(pattern, mark, want, flags=re.ASCII)
-        assert r.redacted == want
-        changed += want != r.text
-    assert changed
+def test_redaction_of_pairs(spark):
+    """Texts and what becomes of them."""
+    pairs = {
+        "write to jane.doe+x@mail.example.org today": "write to [email redacted] today",
+        "id 078-05-1120.": "id [id redacted].",
+        "card 4111-1111-1111-1111 and 4111111111111111": "card [number redacted] and [number redacted]",
+        "call +1 (202) 555 0143 or 020 7946 0958": "call [number redacted] or [number redacted]",
+        "NIST SP 800-207, 2024-01-15, page 12345678": "NIST SP 800-207, 2024-01-15, page 12345678",
+        "": "",
+    }
+    rows = spark.createDataFrame([(k,) for k in pairs], "text string")
+    got = {r.text: r.redacted for r in rows.select("text", tx.redact(rows.text).alias("redacted")).collect()}
+    assert got == pairs
