@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Tokens of a word column; the default elsewhere is one a word.
+TokenCounter = Callable[[Column], Column]
+
 # The stop words of the analyzer, the status words and month names of editions.
 STOP_WORDS = (
     "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with"
@@ -68,6 +73,18 @@ def token_budget(words: Column, budget: int) -> Column:
     return F.slice(words, 1, budget)
 
 
+def budget_words(words: Column, budget: int, cost: TokenCounter) -> Column:
+    """How many words from the start cost at most ``budget`` together; the first that does not fit ends them."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("spent"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+    def step(s: Column, w: Column) -> Column:
+        spent = s["spent"] + cost(w).cast("bigint")
+        fits = s["open"] & (spent <= budget)
+        return F.struct(spent.alias("spent"), (s["n"] + fits.cast("int")).alias("n"), fits.alias("open"))
+
+    return F.aggregate(words, zero, step, lambda s: s["n"])
+
+
 def restore_formulas(content: Column, formulas: Column) -> Column:
     """The n-th placeholder replaced by the n-th formula (struct of display, value).
 

@@ -53,3 +53,10 @@ def centroid(df: DataFrame, key: str, vector: str, n_dims: str = "pos") -> DataF
     length = mean.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
     scaled = F.when(F.col("length") > 0, F.col("v") / F.col("length")).otherwise(F.col("v"))
     return mean.join(length, key).select(key, F.col("pos").alias(n_dims), scaled.alias("value"))
+
+
+def named_cosines(named: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(a, b, cosine): ``named`` pairs (a, b) of which both are in ``vectors`` (id, embedding), to four places."""
+    sides = [vectors.select(F.col("id").alias(k), F.col("embedding").alias(f"v{k}")) for k in "ab"]
+    joined = named.join(sides[0], "a").join(sides[1], "b")
+    return joined.select("a", "b", F.format_string("%.4f", F.round(cosine(F.col("va"), F.col("vb")), 4) + F.lit(0.0)).alias("cosine"))

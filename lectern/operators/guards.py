@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: a citation tag, the title lazily up to the page.
@@ -37,8 +37,29 @@ def unsupported(answers: DataFrame, passages: DataFrame) -> DataFrame:
     return flags.where("equal = 0 AND begun <> 1").select("answer_id", "nth", "tag", "title", "page")
 
 
+def violation_log(answers: DataFrame, passages: DataFrame) -> DataFrame:
+    """One record for each unsupported occurrence: (answer_id, nth, cited_title, cited_page, question)."""
+    bad = unsupported(answers, passages).select("answer_id", "nth", F.col("title").alias("cited_title"), F.col("page").alias("cited_page"))
+    asked = answers.select("answer_id", F.col("question") if "question" in answers.columns else F.lit(None).cast("string").alias("question"))
+    return bad.join(asked, "answer_id")
+
+
+def panel_matches(cited: DataFrame, passages: DataFrame) -> DataFrame:
+    """The passages behind each of ``cited`` (answer_id, nth, title, page) for a reader.
+
+    Titles match where either holds the other, ignoring case. Passages whose span has
+    the page come alone; without any, all of the title are shown.
+    """
+    met = cited.join(passages.withColumnsRenamed({"title": "p_title", "page": "p_page"}), "answer_id")
+    a, b = F.lower("p_title"), F.lower("title")
+    met = met.where(F.contains(a, b) | F.contains(b, a))
+    met = met.withColumn("on_page", F.col("page").between(F.col("p_page"), F.greatest("p_page", "end_page")))
+    some = F.max("on_page").over(Window.partitionBy("answer_id", "nth"))
+    return met.withColumn("some", some).where(F.col("on_page") | ~F.col("some")).select("answer_id", "nth", "doc_id", "p_page", "on_page")
+
+
 def guard(answers: DataFrame, passages: DataFrame) -> DataFrame:
-    """(answer_id, guarded, removed): answers without unsupported tags and with a warning."""
+    """(answer_id, guarded, removed): answers without unsupported tags and with a warning, whose sentence is a fixed value."""
     bad = unsupported(answers, passages).groupBy("answer_id").agg(
         F.count("*").alias("removed"), F.sort_array(F.collect_list(F.struct("nth", "tag"))).alias("found")
     )

@@ -69,3 +69,9 @@ def survivors(ranked: DataFrame) -> DataFrame:
     out = out.withColumn("superseded", F.transform(older, lambda x: F.struct(x["doc_id"].alias("doc_id"), x["published_on"].alias("published_on"))))
     order = Window.partitionBy("query_id").orderBy("best_rank")
     return out.select("query_id", F.row_number().over(order).alias("rank"), "best_rank", "doc_id", "suppressed", "superseded")
+
+
+def listing(groups: DataFrame) -> DataFrame:
+    """(lineage_group, members): the ids of each group in order, as one line."""
+    members = F.transform(F.sort_array(F.collect_list("doc_id")), lambda i: i.cast("string"))
+    return groups.groupBy("lineage_group").agg(F.array_join(members, ", ").alias("members"))

@@ -2,49 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_SPAN = 5
 
 
-def read_pages(chunks: DataFrame, first: int, last: int = 0) -> DataFrame:
-    """Chunks (doc, chunk_id, page, end_page) that overlap the pages asked for, at most five of them."""
+def read_pages(chunks: DataFrame, first: int, last: int = 0, doc: object = None) -> DataFrame:
+    """Chunks (doc, chunk_id, page, end_page) that overlap the pages asked for, at most five of them.
+
+    ``doc`` restricts them to one document, by a predicate that reaches the scan.
+    """
     first = max(1, first)
     last = first if last < first else min(last, first + MAX_SPAN - 1)
     overlap = (F.col("page") <= last) & (F.greatest("page", F.coalesce("end_page", F.lit(0))) >= first)
-    return chunks.where(overlap)
+    return (chunks if doc is None else chunks.where(F.col("doc") == doc)).where(overlap)
+
 
+def in_page_order(pages: DataFrame) -> DataFrame:
+    """Adds ``place``: the order in which a document's chunks are read."""
+    return pages.withColumn("place", F.row_number().over(Window.partitionBy("doc").orderBy("page", "chunk_id")))
 
-def resolve(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
+
+def resolve(requests: DataFrame, catalogue: DataFrame, listed: int = 100, most: int = 10_000) -> DataFrame:
     """(request, status, doc_id, ambiguous) for ``requests`` (request) against ``catalogue`` (doc_id, title).
 
     An id or title that equals the request (ignoring case) comes first, else the
     one title that contains it; several are ambiguous. Blank requests match nothing.
-    The requests are a handful of identifiers, which go to every catalogue part.
+    Equality is an equi-join. Requests left over are counted before they go to every
+    catalogue part for the contains test, as at most ``most`` may; of an ambiguous
+    request's matches the ``listed`` smallest are named.
     """
-    asked = requests.select("request", F.lower(F.trim("request")).alias("r")).where("r <> ''")
+    asked = requests.select("request", F.lower(F.trim("request")).alias("r")).where("r <> ''").distinct()
     title, key = F.lower("title"), F.lower(F.col("doc_id").cast("string"))
-    exact: Column = (key == F.col("r")) | (title == F.col("r"))
-    met = asked.hint("broadcast").join(catalogue, exact | F.contains(title, F.col("r")))
-    met = met.select("request", "doc_id", exact.alias("exact"))
-    found = met.groupBy("request").agg(
-        F.min(F.when(F.col("exact"), F.col("doc_id"))).alias("exact_id"),
-        F.count_distinct("doc_id").alias("n"),
-        F.min("doc_id").alias("one"),
-        F.sort_array(F.collect_set("doc_id")).alias("all"),
-    )
-    out = requests.join(found, "request", "left")
+    named = catalogue.select("doc_id", key.alias("r")).unionByName(catalogue.select("doc_id", title.alias("r")))
+    exact = asked.join(named, "r").groupBy("request").agg(F.min("doc_id").alias("exact_id"))
+    rest = asked.join(exact, "request", "left_anti")
+    if rest.count() > most:
+        raise ValueError(f"more than {most} requests name no id or title")
+    met = F.broadcast(rest).join(catalogue, F.contains(title, F.col("r"))).select("request", "doc_id").distinct()
+    few = met.withColumn("nth", F.row_number().over(Window.partitionBy("request").orderBy("doc_id"))).where(F.col("nth") <= listed)
+    found = met.groupBy("request").agg(F.count("*").alias("n"), F.min("doc_id").alias("one"))
+    found = found.join(few.groupBy("request").agg(F.sort_array(F.collect_list("doc_id")).alias("all")), "request")
+    out = requests.join(exact, "request", "left").join(found, "request", "left")
     one = F.coalesce("exact_id", F.when(F.col("n") == 1, F.col("one")))
     status = F.when(one.isNotNull(), "match").when(F.col("n") > 1, "ambiguous").otherwise("none")
     return out.select("request", status.alias("status"), one.alias("doc_id"), F.when(status == "ambiguous", F.array_join("all", ",")).alias("ambiguous"))
 
 
 def newest_upsert(stored: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """Rows of both with the batch's row where a key is in both."""
+    """Rows of both with the batch's row where a key is in both.
+
+    Of several rows of one key on the same side the one whose columns sort last stays.
+    """
+    columns = stored.columns
+    last = F.max(F.struct(F.col("batch_no"), *[F.col(f"`{c}`") for c in columns])).alias("last")
     every = stored.withColumn("batch_no", F.lit(0)).unionByName(batch.withColumn("batch_no", F.lit(1)))
-    last = Window.partitionBy(key).orderBy(F.desc("batch_no"))
-    return every.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n", "batch_no")
+    return every.groupBy(key).agg(last).select(*[F.col(f"last.`{c}`") for c in columns])
+
+
+def catalogue_status(manifest: DataFrame, files: DataFrame, ingested: DataFrame) -> DataFrame:
+    """``manifest`` (doc_id, title) with ``state`` and ``chunk_count``.
+
+    ``files``: (doc_id) of those downloaded; ``ingested``: (doc_id, chunk_count).
+    """
+    joined = manifest.join(files.select("doc_id", F.lit(True).alias("there")).distinct(), "doc_id", "left").join(ingested, "doc_id", "left")
+    state = F.when(F.col("chunk_count").isNotNull(), "ingested").when(F.col("there"), "downloaded").otherwise("missing")
+    return joined.select("doc_id", "title", state.alias("state"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
 
 
 def cache_misses(texts: DataFrame, cached: DataFrame, model: str) -> DataFrame:

@@ -37,6 +37,21 @@ def chunk_evidence(hits: DataFrame) -> DataFrame:
     )
 
 
+def listed_documents(ranked: DataFrame, docs: DataFrame) -> DataFrame:
+    """``ranked`` (query_id, rank, doc_id) beside its ``docs`` (doc_id, ...); ids that are no document go."""
+    return ranked.join(docs, "doc_id")
+
+
+def hits_by_document(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, doc_id, hits) of ``docs`` (query_id, doc_id): its hits (rank, page) by rank, perhaps none.
+
+    ``hits`` come from a retriever of bounded depth.
+    """
+    listed = hits.groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "page"))).alias("hits"))
+    none = F.array().cast("array<struct<rank:int,page:int>>")
+    return docs.select("query_id", "doc_id").join(listed, ["query_id", "doc_id"], "left").withColumn("hits", F.coalesce(F.col("hits").cast("array<struct<rank:int,page:int>>"), none))
+
+
 def score(candidates: DataFrame, hits: DataFrame, as_of: Column) -> DataFrame:
     """Ranks ``candidates`` (query_id, doc_id, doc_sim, published_on, chunk_count).
 

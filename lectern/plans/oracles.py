@@ -174,14 +174,25 @@ sec AS (
   SELECT page_id, island, max(text) FILTER (heading) AS heading, string_agg(text, chr(10) ORDER BY seq) FILTER (NOT heading) AS body
   FROM isl GROUP BY 1, 2 HAVING count(*) FILTER (NOT heading) > 0)"""
 
+_AFFINITY = f"""
+WITH r AS (SELECT * FROM (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations WHERE role = 'user') WHERE k <= 5),
+rv AS ({_sparse("(SELECT conv_id * 1000 + turn AS k, text FROM r)", "k", _terms("text"))}),
+qv AS ({_sparse("benchmark", "item_id", _terms("text"))}),
+rn AS (SELECT k, sqrt(sum(n * n)) AS l FROM rv GROUP BY 1), qn AS (SELECT item_id, sqrt(sum(n * n)) AS l FROM qv GROUP BY 1),
+dots AS (SELECT rv.k, item_id, sum(rv.n * qv.n) AS dot FROM rv JOIN qv USING (b) GROUP BY 1, 2),
+sim AS (
+  SELECT conv_id AS session_id, i.item_id AS doc_id, coalesce(dot / (rn.l * qn.l), 0.0) AS sim FROM r CROSS JOIN benchmark i
+  LEFT JOIN dots ON dots.k = conv_id * 1000 + turn AND dots.item_id = i.item_id LEFT JOIN rn ON rn.k = conv_id * 1000 + turn LEFT JOIN qn ON qn.item_id = i.item_id)
+SELECT session_id, doc_id, round(max(sim), 6) AS affinity FROM sim GROUP BY 1, 2"""
+
 _MICROS = "round(1000 * value)::BIGINT"
 
 
 def oracle_sql() -> dict[str, str]:
-    from lectern.plans import tool_oracles
+    from lectern.plans import eval_queries, ingest_oracles, tool_oracles
 
     tokens = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
-    return tool_oracles.oracle_sql() | {
+    return tool_oracles.oracle_sql() | ingest_oracles.oracle_sql() | eval_queries.oracle_sql() | {
         "dense_topk": _dense("true", 20),
         "dense_topk_filtered": _dense("q.label = r.label", 20),
         "bm25_topk": f"WITH {_bm25(20)} SELECT query_id, CAST(rank AS INT) AS rank, id, score FROM bm",
@@ -290,16 +301,7 @@ b AS (SELECT conv_id, w, {_BUCKET} AS b FROM (SELECT conv_id, w, unnest(ts) AS t
 s AS (SELECT conv_id, b, sum(w) AS v FROM b GROUP BY 1, 2)
 SELECT c.conv_id AS session_id, p.pos AS pos, round(coalesce(v, 0), 6) AS value FROM (SELECT DISTINCT conv_id FROM u) c CROSS JOIN (SELECT unnest(range(64)) AS pos) p
 LEFT JOIN s ON s.conv_id = c.conv_id AND s.b = p.pos""",
-        "affinity": f"""
-WITH r AS (SELECT * FROM (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations WHERE role = 'user') WHERE k <= 5),
-rv AS ({_sparse("(SELECT conv_id * 1000 + turn AS k, text FROM r)", "k", _terms("text"))}),
-qv AS ({_sparse("benchmark", "item_id", _terms("text"))}),
-rn AS (SELECT k, sqrt(sum(n * n)) AS l FROM rv GROUP BY 1), qn AS (SELECT item_id, sqrt(sum(n * n)) AS l FROM qv GROUP BY 1),
-dots AS (SELECT rv.k, item_id, sum(rv.n * qv.n) AS dot FROM rv JOIN qv USING (b) GROUP BY 1, 2),
-sim AS (
-  SELECT conv_id AS session_id, i.item_id AS doc_id, coalesce(dot / (rn.l * qn.l), 0.0) AS sim FROM r CROSS JOIN benchmark i
-  LEFT JOIN dots ON dots.k = conv_id * 1000 + turn AND dots.item_id = i.item_id LEFT JOIN rn ON rn.k = conv_id * 1000 + turn LEFT JOIN qn ON qn.item_id = i.item_id)
-SELECT session_id, doc_id, round(max(sim), 6) AS affinity FROM sim GROUP BY 1, 2""",
+        "affinity": _AFFINITY,
         "turn_metrics": f"""
 SELECT user_id AS turn_id, md5(string_agg(event_type, ',' ORDER BY event_id)) AS functions_md5, CAST(sum({_MICROS}) AS BIGINT) AS duration_ms,
   CAST(coalesce(sum({tokens}), 0) AS BIGINT) AS tokens_in, CAST(coalesce(sum(2 * {tokens}), 0) AS BIGINT) AS tokens_out,

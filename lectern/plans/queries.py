@@ -315,27 +315,31 @@ def turn_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- metrics ------------------------------------------------------------------------------------------------
-def _lists(spark: SparkSession, d: str, filtered: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lists of other vectors for each seed; gold: the others of its label."""
-    e = _t(spark, d, "embeddings").select("vec_id", "label")
+def _lists(spark: SparkSession, d: str, filtered: bool = False) -> DataFrame:
+    """(case_id, rank, doc): the first six other vectors for each seed."""
     found = _dense(spark, d, 7, filtered).where("id <> query_id")
     lists = found.select(F.col("query_id").alias("case_id"), F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("rank"), F.col("id").alias("doc"))
-    seeds = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("case_id"), "label")
-    gold = seeds.join(e, "label").where("vec_id <> case_id").select("case_id", F.col("vec_id").alias("doc"))
-    return lists.where("rank <= 6"), gold, seeds
+    return lists.where("rank <= 6")
+
+
+def _list_metrics(spark: SparkSession, d: str, filtered: bool = False) -> DataFrame:
+    """Metrics of the lists; the gold of a seed is the others of its label."""
+    labels = _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), "label")
+    cases = labels.where("doc % 20 = 0").withColumnRenamed("doc", "case_id")
+    return metrics.metrics_of_judged(metrics.judged_by_label(_lists(spark, d, filtered), labels, cases), 5)
 
 
 def rec_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.ranking_metrics(*_lists(spark, d), 5)
+    return _list_metrics(spark, d)
 
 
 def catalogue_coverage(spark: SparkSession, d: str) -> DataFrame:
     size = _t(spark, d, "embeddings").count()
-    return metrics.coverage(_lists(spark, d)[0], size)
+    return metrics.coverage(_lists(spark, d), size)
 
 
 def intra_list_diversity(spark: SparkSession, d: str) -> DataFrame:
-    lists = _lists(spark, d)[0].join(_t(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), "embedding"), "doc")
+    lists = _lists(spark, d).join(_t(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), "embedding"), "doc")
     a = lists.select("case_id", F.col("rank").alias("i"), F.col("embedding").alias("x"))
     b = lists.select("case_id", F.col("rank").alias("j"), F.col("embedding").alias("y"))
     pairs = a.join(b, "case_id").where("i < j").select("case_id", vx.cosine(F.col("x"), F.col("y")).alias("sim"))
@@ -344,11 +348,11 @@ def intra_list_diversity(spark: SparkSession, d: str) -> DataFrame:
 
 def duplicate_leakage(spark: SparkSession, d: str) -> DataFrame:
     grp = _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), F.when(F.col("label") < 5, F.col("label")).alias("grp"))
-    return metrics.duplicate_leakage(_lists(spark, d)[0].join(grp, "doc"))
+    return metrics.duplicate_leakage(_lists(spark, d).join(grp, "doc"))
 
 
 def ablation_pivot(spark: SparkSession, d: str) -> DataFrame:
-    runs = [metrics.ranking_metrics(*_lists(spark, d, f), 5).withColumn("config", F.lit(c)) for f, c in ((False, "dense"), (True, "filtered"))]
+    runs = [_list_metrics(spark, d, f).withColumn("config", F.lit(c)) for f, c in ((False, "dense"), (True, "filtered"))]
     return metrics.ablation_table(metrics.aggregate_runs(runs[0].unionByName(runs[1])), ["dense", "filtered"])
 
 
@@ -366,6 +370,6 @@ def queries() -> dict[str, Query]:
         "pii_redact_base citation_guard centroid lineage_groups near_dup_groups rec_score rec_reasons mmr_topk lambda_sweep dedup_ceiling "
         "recent_queries session_profile affinity turn_metrics rec_metrics catalogue_coverage intra_list_diversity duplicate_leakage ablation_pivot event_windows"
     )
-    from lectern.plans import tool_queries
+    from lectern.plans import eval_queries, ingest_queries, tool_queries
 
-    return {n: globals()[n] for n in names.split()} | tool_queries.queries()
+    return {n: globals()[n] for n in names.split()} | tool_queries.queries() | ingest_queries.queries() | eval_queries.queries()

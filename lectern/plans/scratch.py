@@ -17,9 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 _PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+def _settings(spark: SparkSession) -> tuple[str | None, str]:
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir"), spark.sparkContext.master
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by the session, or a local one where the session names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """Folder named by the session; a local one only where the session names none and runs in one process."""
+    named, master = _settings(spark)
+    if not named and not master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named or "file://" + os.path.join(tempfile.gettempdir(), "lectern-checkpoints")
 
 
@@ -56,6 +62,3 @@ class Scratch:
         path = f"{self.path}/{self._n:03d}-{label}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, label_path: str) -> None:
-        _delete(self.spark, label_path)

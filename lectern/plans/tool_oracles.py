@@ -224,6 +224,6 @@ SELECT query_id, CAST(rank AS INT) AS rank, id, score FROM (
 SELECT item_id AS query_id, md5(coalesce(passages, 'No passages found.')) AS answer_md5, CASE WHEN passages IS NULL THEN 'No passages found.' END AS none
 FROM benchmark LEFT JOIN told ON query_id = item_id""",
         "answer_question": f"""{_PASSAGES}
-SELECT item_id AS query_id, md5('Question: ' || text || chr(10) || chr(10) || 'Passages:' || chr(10) || passages) AS prompt_md5,
+SELECT item_id AS query_id, md5('Answer from the passages alone and cite each fact as [Title, p.N].' || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Passages:' || chr(10) || passages) AS prompt_md5,
   CASE WHEN passages IS NULL THEN 'INSUFFICIENT_CONTEXT' END AS answer FROM benchmark LEFT JOIN told ON query_id = item_id""",
     }

@@ -13,9 +13,9 @@ from lectern.functions import text as tx
 from lectern.operators import chunking, dense, fusion, lexical, recommend, sessions, tools
 from lectern.plans import queries as base
 from lectern.plans.scratch import Scratch
+from lectern.sources import prompts
 
 POOL = 30
-TEMPLATE = "Question: {{$question}}\n\nPassages:\n{{$context}}"
 
 
 def _group(key: str) -> Column:
@@ -116,7 +116,7 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 
 def answer_question(spark: SparkSession, d: str) -> DataFrame:
     asked = base._items(spark, d).withColumnRenamed("text", "question")
-    told = tools.answer_prompts(asked, _passages(spark, d, True), TEMPLATE)
+    told = tools.answer_prompts(asked, _passages(spark, d, True), prompts.shipped("answer").template)
     return told.select("query_id", F.md5("prompt").alias("prompt_md5"), "answer")
 
 

@@ -27,9 +27,14 @@ def paragraphs(rows: DataFrame) -> DataFrame:
 
 
 def table_pages(rows: DataFrame) -> DataFrame:
-    """Tables with their page: that of the table, else of its first cell; others are marked skipped."""
+    """Tables with ``page`` (that of the table, else of its first cell) and ``skipped``: why one is left out, or null.
+
+    ``rows``: (pages, cell_pages, ...), with ``markdown`` where it is made already,
+    which is null for a degenerate table.
+    """
     page = F.coalesce(F.get("pages", F.lit(0)), F.get("cell_pages", F.lit(0)))
-    return rows.withColumn("page", page).withColumn("skipped", page.isNull())
+    degenerate = F.col("markdown").isNull() if "markdown" in rows.columns else F.lit(False)
+    return rows.withColumn("page", page).withColumn("skipped", F.when(page.isNull(), "no page").when(degenerate, "degenerate"))
 
 
 def html_paragraphs(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pathlib
 import re
 from dataclasses import dataclass
 
@@ -48,6 +49,11 @@ def parse_prompt(text: str) -> Prompt:
     return Prompt(name, tuple(inputs), template)
 
 
+def shipped(name: str) -> Prompt:
+    """A prompt of this package."""
+    return parse_prompt((pathlib.Path(__file__).parent.parent / "prompts" / f"{name}.yaml").read_text(encoding="utf-8"))
+
+
 def render(template: str, values: dict[str, Column]) -> Column:
     """The template with each slot replaced by its column; values are not looked into for slots."""
     parts = _SLOT.split(template)
