@@ -1,4 +1,16 @@
-"""Pipeline stages: (spark, docs, sf_dir) -> DataFrame, each one operator."""
+"""Pipeline stages: (spark, docs, sf_dir) -> DataFrame, each one operator.
+
+All but the last return the columns of ``docs`` as they are, whatever their names;
+only personal data changes values (``text``, and ``n_chars`` where there is one).
+
+Cases: a null, empty or white-space text fails the quality rules, so it leaves at
+the first stage; by themselves the later stages keep it (it is scored as an empty
+text, links with nothing, has no personal data and packs to one closing id); a null
+id is trained on by no stage and stays; rows that repeat stay together: they get
+one verdict, share one id and are all kept or all left out, but rows of different
+ids and one text leave one id; ties go as the operators state; texts are read whole;
+an empty table gives an empty result at every stage.
+"""
 
 from __future__ import annotations
 

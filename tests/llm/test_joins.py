@@ -135,7 +135,7 @@ def test_jaccard_matches_brute_force(spark):
     rows = jaccard_rows()
     df = spark.createDataFrame([(*r, 1, "y") for r in rows], "doc_id long, text string, n int, component string")
     want = brute(rows)
-    for p in (JaccardJoin(), JaccardJoin(hubs=1, rounds=1, few_pairs=1, long_posting=3, block=4, block_tokens=200, max_frequent=20, filter_bits=8)):
+    for p in (JaccardJoin(), JaccardJoin(hubs=1, rounds=1, few_pairs=1, long_posting=3, block=4, block_tokens=200, max_frequent=20, broadcast_ids=2, filter_bits=8)):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_components(df, Scratch(spark, "t"), p).collect()}
         assert got == want
     kept = keep_one(df, Scratch(spark, "t"))
@@ -149,6 +149,27 @@ def test_jaccard_repeated_ids(spark):
     assert got == [(1, 1), (1, 1), (2, 1), (None, 1)]
 
 
+def test_jaccard_ids_with_two_texts(spark):
+    """An id connects what either of its texts links with."""
+    rows = jaccard_rows()
+    more = [(rows[i][0], rows[(i * 37 + 11) % 120][1]) for i in range(0, 120, 17)] + [rows[3], rows[3]]
+    every = rows + more
+    sets = [(i, shingle_set(t)) for i, t in every]
+    links = [(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[k + 1 :] if a != b and x and y and 100 * len(x & y) >= 80 * len(x | y)]
+    comp = components({i for i, _ in every}, links)
+    df = spark.createDataFrame(every, "doc_id long, text string")
+    for p in (JaccardJoin(), JaccardJoin(hubs=1, rounds=1, few_pairs=1, long_posting=3, block=4, block_tokens=200, max_frequent=20, broadcast_ids=2, filter_bits=8)):
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in similar_components(df, Scratch(spark, "t"), p).collect())
+        assert got == sorted((i, len(x), comp[i] if x else i) for i, x in sets)
+
+
+def test_keep_one_with_clashing_names(spark):
+    rows = [(1, "a b c", 1, "x"), (2, "a b c", 2, "y"), (None, "a b c", 3, "z"), (3, None, 4, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, gone int, `a.b` string")
+    out = keep_one(df, Scratch(spark, "t"))
+    assert out.schema == df.schema and sorted(r.gone for r in out.collect()) == [1, 3, 4]
+
+
 def test_pipeline_stages(spark, sf_dir):
     from lectern.llm import pii, quality, toxicity
     from lectern.llm.packing import token_pieces
@@ -173,3 +194,30 @@ def test_pipeline_stages(spark, sf_dir):
     assert packed.count() == token_pieces(redacted, tokenizer_path()).count()
     assert corpus_pipeline.run(spark, sf_dir).count() == packed.count()
     assert Row and [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "toxicity", "ngram_jaccard", "personal_data", "best_fit_packing"]
+
+
+def test_stages_with_edge_rows_and_clashing_names(spark, sf_dir):
+    from lectern.llm import stages
+
+    docs = table(spark, sf_dir, "documents").limit(60).collect()
+    extra = [(*r, 1.5, "t", [1], "row", i % 2 == 0) for i, r in enumerate(docs)]
+    extra += [extra[5], (None, "mail x@y.zz " * 60, "en", "s", 1, None, None, None, None, None), (900001, None, None, None, None, None, None, None, None, None), (900002, " \n", "en", "s", 2, 0.0, "", [], "", True)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `a.b` double, __text string, __pii array<int>, row string, kept boolean"
+    df = spark.createDataFrame(extra, schema)
+    for stage in (stages.quality_rules, stages.drop_toxic, stages.drop_near_duplicates, stages.redact_personal_data):
+        out = stage(spark, df, sf_dir)
+        assert [f.name for f in out.schema] == [f.name for f in df.schema] and out.dtypes == df.dtypes
+        rows = out.collect()
+        whole = {str(r) for r in df.collect()}
+        if stage is stages.redact_personal_data:
+            assert len(rows) == len(extra)
+            changed = next(r for r in rows if r.doc_id is None)
+            assert changed.text == "mail <EMAIL> " * 60 and changed.n_chars == len(changed.text)
+        else:
+            assert {str(r) for r in rows} <= whole and 0 < len(rows) <= len(extra)
+        if stage is stages.quality_rules:
+            assert not {900001, 900002} & {r.doc_id for r in rows}
+        assert stage(spark, df.limit(0), sf_dir).collect() == []
+    packed = stages.pack_sequences(spark, df, sf_dir)
+    assert packed.where("doc_id = 900001").first().length == 1
+    assert stages.pack_sequences(spark, df.limit(0), sf_dir).count() == 0
