@@ -2,7 +2,8 @@
 
 Every stage works on what its predecessor kept. In :func:`run` each stage's
 result is written to the shared folder and read again, so that a lost executor
-never repeats an earlier stage.
+never repeats an earlier stage. How nulls, repeated rows, ties, long texts, empty
+tables and clashing names come out is stated in :mod:`lectern.llm.stages`.
 """
 
 from __future__ import annotations
