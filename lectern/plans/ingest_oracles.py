@@ -79,6 +79,16 @@ SELECT doc_id AS id, sha256(text) AS key, value, value IS NOT NULL AS cached FRO
 WITH p AS (SELECT a, a + 7 * a % 40 + 1 AS b FROM (SELECT unnest(range(9)) AS a))
 SELECT a, b, format('{:.4f}', round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 4) + 0.0) AS cosine FROM p JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b""",
         "chunks_with_tables": f"WITH {_PAGED}",
+        "chunk_variable": f"""
+WITH RECURSIVE w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM (SELECT doc_id, {_SPLIT} AS ws FROM documents)),
+s AS (SELECT doc_id, k, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY k) AS spent FROM w),
+p AS (SELECT doc_id, list_prepend(0::HUGEINT, list(spent ORDER BY k)) AS p, count(*) AS n FROM s GROUP BY 1),
+cut AS (
+  SELECT doc_id, 0 AS seq, 0::BIGINT AS start, greatest(1, len(list_filter(p, lambda x: x <= 400)) - 1)::BIGINT AS stop FROM p
+  UNION ALL
+  SELECT doc_id, seq + 1, start, greatest(start + 1, len(list_filter(p, lambda x: x <= p[start + 1] + 400)) - 1)::BIGINT FROM (
+    SELECT c.doc_id, c.seq, p.p, greatest(c.start + 1, least(c.stop, len(list_filter(p.p, lambda x: x < p.p[c.stop + 1] - 60))))::BIGINT AS start FROM cut c JOIN p ON p.doc_id = c.doc_id WHERE c.stop < n))
+SELECT doc_id, seq::INT AS seq, start::INT AS start, stop::INT AS stop FROM cut""",
         "ingestion_counters": """
 SELECT conv_id AS doc_id, count(*) AS pages, count(*) FILTER (turn % 3 = 0) AS ocr_pages, count(*) FILTER (conv_id % 5 <> 0 AND turn % 4 = 0) AS tables,
   count(*) FILTER (conv_id % 5 <> 0) AS chunks, conv_id % 5 = 0 AS skipped FROM conversations GROUP BY 1""",

@@ -185,6 +185,8 @@ sim AS (
   LEFT JOIN dots ON dots.k = conv_id * 1000 + turn AND dots.item_id = i.item_id LEFT JOIN rn ON rn.k = conv_id * 1000 + turn LEFT JOIN qn ON qn.item_id = i.item_id)
 SELECT session_id, doc_id, round(max(sim), 6) AS affinity FROM sim GROUP BY 1, 2"""
 
+_PHONE = "(^|[^\\w.-])\\+?\\d(?:[ -.]?\\(?\\d\\)?){8,13}(\\W|$)"
+
 _MICROS = "round(1000 * value)::BIGINT"
 
 
@@ -242,6 +244,13 @@ SELECT doc_id, md5(CASE WHEN len(ws) <= 150 THEN array_to_string(ws, ' ') ELSE a
 SELECT r_regionkey AS table_id, '| ' || r_name || ' | ' || r_name || ' |' || chr(10) || '| --- | --- |' || chr(10) ||
   string_agg('| ' || n_nationkey || ' | ' || n_name || '\\|x |', chr(10) ORDER BY n_nationkey) AS markdown
 FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name""",
+        # RE2 has no look-around: the characters beside a phone are matched and put back, and a second pass
+        # finds a phone that begins right behind the character the first one took
+        "pii_redact": f"""
+WITH b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}', '[email redacted]', 'g'),
+  '\\b\\d{{3}}-\\d{{2}}-\\d{{4}}\\b', '[id redacted]', 'g'), '\\b\\d(?:[ -]?\\d){{12,15}}\\b', '[number redacted]', 'g') AS t FROM documents),
+c AS (SELECT doc_id, regexp_replace(t, '{_PHONE}', '\\1[number redacted]\\2', 'g') AS t FROM b)
+SELECT doc_id, md5(regexp_replace(t, '{_PHONE}', '\\1[number redacted]\\2', 'g')) AS redacted_md5 FROM c""",
         "pii_redact_base": """
 SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}', '[email redacted]', 'g'),
   '\\b\\d{3}-\\d{2}-\\d{4}\\b', '[id redacted]', 'g'), '\\b\\d(?:[ -]?\\d){12,15}\\b', '[number redacted]', 'g')) AS redacted_md5 FROM documents""",
