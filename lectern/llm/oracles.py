@@ -127,3 +127,68 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM docs LEFT JOIN joined USING (doc_id)
 """
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = f"regexp_extract_all({_LOWER.format('text')}, '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+')"
+OP11 = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents WHERE text IS NOT NULL),
+held AS (SELECT r, doc_id, ts, len(ts)::BIGINT AS n FROM docs WHERE len(ts) > 0),
+stats AS (SELECT count(*)::BIGINT AS total, sum(n)::BIGINT AS lengths FROM held),
+tf AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS term FROM held) GROUP BY r, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * total + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, stats GROUP BY term, total),
+norms AS (SELECT r, doc_id, 100 - 25 + (25 * n * total) // lengths AS m FROM held, stats),
+single AS (SELECT item_id, min(text) AS text FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id),
+asked AS (
+  SELECT item_id, term, count(*)::BIGINT AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM single) GROUP BY item_id, term),
+scored AS (
+  SELECT item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN norms USING (r) GROUP BY item_id, r, doc_id),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+OP12 = f"""
+WITH runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all({_LOWER.format('text')}, '[a-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 6 GROUP BY doc_id, run),
+summed AS (SELECT run, n, {CRC32} AS h FROM (SELECT run, n, coalesce(doc_id::VARCHAR, '') || ':' || run AS g FROM runs)),
+read AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM summed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM read WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM words),
+cuts AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM cut),
+gaps AS (SELECT word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS rest FROM cut),
+pairs AS (
+  SELECT c.word AS a, c.n AS an, w.word AS b, w.n AS bn FROM cuts c JOIN words w ON c.rest = w.word
+  UNION ALL SELECT w.word, w.n, c.word, c.n FROM cuts c JOIN words w ON c.rest = w.word
+  UNION ALL SELECT x.word, x.n, y.word, y.n FROM gaps x JOIN gaps y ON x.rest = y.rest AND x.word <> y.word),
+near AS (
+  SELECT a AS word, count(*)::BIGINT AS n_near, max(bn) AS near_n, arg_min(b, (-bn, b)) AS near FROM pairs GROUP BY a),
+formed AS (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * words.n THEN near END AS form,
+    CASE WHEN near_n >= 5 * words.n THEN near_n END AS form_n
+  FROM words LEFT JOIN near USING (word)),
+walk AS (
+  WITH RECURSIVE step(word, root) AS (
+    SELECT word, word FROM formed
+    UNION ALL SELECT step.word, formed.form FROM step JOIN formed ON step.root = formed.word WHERE formed.form IS NOT NULL)
+  SELECT step.word, step.root FROM step JOIN formed ON step.root = formed.word WHERE formed.form IS NULL)
+SELECT word, n, n_near, form, form_n, root FROM formed JOIN walk USING (word)
+"""
+
+OP13 = """
+WITH usable AS (
+  SELECT vec_id, min(v) AS v FROM (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)
+  GROUP BY vec_id),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])), 0)::BIGINT AS score
+  FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""

@@ -83,6 +83,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.lexical_search import rank_documents
+
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op11"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"), Scratch(spark, "op12"))
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.exact_search import exact_top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -95,6 +114,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_token_counts": op10_token_counts,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_exact_topk": op13_exact_topk,
     }
 
 
@@ -103,4 +125,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_rules": oracles.OP1,
         "op5_personal_data": oracles.OP5,
         "op7_embedding_dedup": oracles.OP7,
+        "op11_lexical_search": oracles.OP11,
+        "op12_spelling_variants": oracles.OP12,
+        "op13_exact_topk": oracles.OP13,
     }
