@@ -25,22 +25,24 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
 
-def dense_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+def dense_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK, barred: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, id, score) for ``queries`` (query_id, vector, scope) and ``rows`` (id, vector, scope).
 
-    A scope that is not null restricts a query to the rows of that scope, before
-    the top K is taken. Scores are rounded to six places and ties go to the
-    smaller id. Null vectors are left out on both sides.
+    A scope that is not null restricts a query to the rows of that scope, and
+    ``barred`` (query_id, id) takes rows from single queries, both before the top K
+    is taken. Scores are rounded to six places and ties go to the smaller id. Null
+    vectors are left out on both sides.
     """
     if k < 1:
         return queries.sparkSession.createDataFrame([], "query_id bigint, rank int, id bigint, score double")
-    return weighted_topk(queries, rows.withColumn("bonus", F.lit(0.0)), k, 1.0, block).select("query_id", "rank", "id", "score")
+    return weighted_topk(queries, rows.withColumn("bonus", F.lit(0.0)), k, 1.0, block, barred).select("query_id", "rank", "id", "score")
 
 
-def weighted_topk(queries: DataFrame, rows: DataFrame, k: int, weight: float, block: int = BLOCK) -> DataFrame:
+def weighted_topk(queries: DataFrame, rows: DataFrame, k: int, weight: float, block: int = BLOCK, barred: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, id, score, sim): the best K by ``weight`` times the cosine plus the row's ``bonus``.
 
-    ``queries`` and ``rows`` as in :func:`dense_topk`, rows with ``bonus`` (double).
+    Arguments as in :func:`dense_topk`, rows with ``bonus`` (double). What is barred
+    goes to the pairs of blocks that its query and row are in.
     """
     queries, rows = queries.where("vector IS NOT NULL"), rows.where("vector IS NOT NULL")
     n_q, n_r = (-(-df.count() // block) or 1 for df in (queries, rows))
@@ -48,11 +50,19 @@ def weighted_topk(queries: DataFrame, rows: DataFrame, k: int, weight: float, bl
     vector, scope = F.col("vector").cast(kind).alias("vector"), F.col("scope").cast("string").alias("scope")
     q = _dealt(queries.select(F.col("query_id").cast("bigint").alias("key"), vector, scope), "key", n_q)
     r = _dealt(rows.select(F.col("id").cast("bigint").alias("key"), vector, scope, F.col("bonus").cast("double").alias("bonus")), "key", n_r)
-    q = q.select("key", "vector", "scope", F.lit(0.0).alias("bonus"), F.lit(True).alias("asks"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).alias("j"))
-    r = r.select("key", "vector", "scope", "bonus", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("i"), F.col("block").alias("j"))
+    none = F.lit(None).cast("bigint").alias("of")
+    q = q.select("key", "vector", "scope", F.lit(0.0).alias("bonus"), F.lit("query").alias("kind"), none, F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).alias("j"))
+    r = r.select("key", "vector", "scope", "bonus", F.lit("row").alias("kind"), none, F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("i"), F.col("block").alias("j"))
+    every = q.unionByName(r)
+    if barred is not None:
+        ids = barred.select(F.col("id").cast("bigint").alias("key"), F.col("query_id").cast("bigint").alias("of"))
+        x = _dealt(_dealt(ids, "of", n_q).withColumnRenamed("block", "i"), "key", n_r).withColumnRenamed("block", "j")
+        x = x.select("key", F.lit(None).cast(kind).alias("vector"), F.lit(None).cast("string").alias("scope"), F.lit(0.0).alias("bonus"), F.lit("barred").alias("kind"), "of", "i", "j")
+        every = every.unionByName(x)
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("key")
+        a, b, x = pdf[pdf["kind"] == "query"], pdf[pdf["kind"] == "row"].sort_values("key"), pdf[pdf["kind"] == "barred"]
+        taken = {int(of): held.to_numpy() for of, held in x.groupby("of")["key"]}
         out = []
         if len(a) and len(b):
             sims = _unit(a["vector"]) @ _unit(b["vector"]).T
@@ -60,12 +70,14 @@ def weighted_topk(queries: DataFrame, rows: DataFrame, k: int, weight: float, bl
             ids, scope = b["key"].to_numpy(), b["scope"].to_numpy()
             for n, (key, wanted) in enumerate(zip(a["key"], a["scope"], strict=True)):
                 s = scores[n] if wanted is None else np.where(scope == wanted, scores[n], -np.inf)
+                if key in taken:
+                    s = np.where(np.isin(ids, taken[key]), -np.inf, s)
                 top = np.argsort(-s, kind="stable")[:k]
                 top = top[s[top] > -np.inf]
                 out.append(pd.DataFrame({"query_id": key, "id": ids[top], "score": s[top], "sim": sims[n][top]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": [], "sim": []})
 
-    found = q.unionByName(r).groupBy("i", "j").applyInPandas(product, "query_id bigint, id bigint, score double, sim double")
+    found = every.groupBy("i", "j").applyInPandas(product, "query_id bigint, id bigint, score double, sim double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", "score", "sim")

@@ -80,7 +80,7 @@ def _unit(vectors: list) -> np.ndarray:
 
 
 def mmr_order(seed_sim: np.ndarray, sims: np.ndarray, ids: list, k: int, lam: float) -> list[int]:
-    """Indices in the order picked: lam * similarity to the seed less the rest times the closest pick."""
+    """Indices in the order picked: lam * similarity to the seed less the rest times that to the closest pick, or 0 if all are opposed."""
     if not 0 <= lam <= 1:
         raise ValueError("lambda must be from 0 to 1")
     left, closest, picked = list(range(len(ids))), np.zeros(len(ids)), []
@@ -88,7 +88,7 @@ def mmr_order(seed_sim: np.ndarray, sims: np.ndarray, ids: list, k: int, lam: fl
         value = {i: round(lam * seed_sim[i] - (1 - lam) * closest[i], 9) for i in left}
         best = min(left, key=lambda i: (-value[i], -seed_sim[i], ids[i]))
         left.remove(best)
-        closest = sims[:, best] if not picked else np.maximum(closest, sims[:, best])
+        closest = np.maximum(closest, sims[:, best])
         picked.append(best)
     return picked
 

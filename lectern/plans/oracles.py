@@ -113,12 +113,15 @@ pair AS (
   FROM short x JOIN short y ON x.query_id = y.query_id JOIN embeddings p ON p.vec_id = x.doc_id JOIN embeddings q ON q.vec_id = y.doc_id)"""
 
 
-def _mmr(lam: float, tag: str, k: int = 5) -> str:
-    """CTEs pick{tag}1 .. pick{tag}k, unrolled."""
+_AMONG_SHORT = "(SELECT max(sim) FROM pair WHERE pair.query_id = s.query_id AND pair.i = s.doc_id AND pair.j IN (SELECT doc_id FROM ({before}) b WHERE b.query_id = s.query_id))"
+
+
+def _mmr(lam: float, tag: str, k: int = 5, among: str = _AMONG_SHORT) -> str:
+    """CTEs pick{tag}1 .. pick{tag}k, unrolled; ``among``: similarity to the closest pick, which counts from 0 up."""
     out = []
     for n in range(1, k + 1):
         before = " UNION ALL ".join(f"SELECT query_id, doc_id FROM pick{tag}{i}" for i in range(1, n))
-        closest = f"(SELECT max(sim) FROM pair WHERE pair.query_id = s.query_id AND pair.i = s.doc_id AND pair.j IN (SELECT doc_id FROM ({before}) b WHERE b.query_id = s.query_id))" if n > 1 else "0.0"
+        closest = f"greatest(0.0::DOUBLE, {among.format(before=before)})" if n > 1 else "0.0"
         left = f"WHERE NOT EXISTS (SELECT 1 FROM ({before}) b WHERE b.query_id = s.query_id AND b.doc_id = s.doc_id)" if n > 1 else ""
         out.append(
             f"pick{tag}{n} AS (SELECT query_id, doc_id, seed_sim, {n} AS pick FROM (SELECT *, row_number() OVER (PARTITION BY query_id "

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from lectern.plans.oracles import _SHORT, _VECTORS, _bm25, _mmr, _picked, _sparse, _terms, _words
 
-POOL = 30
 _GROUP = "CASE WHEN {id} % 10 < 2 THEN {id} - {id} % 10 END"
 _AGE = "0.3 + 0.7 * exp(-greatest(0, (epoch_us(TIMESTAMP '2000-01-01') - epoch_us(published)) / 86400e6) / 1000)"
 
@@ -47,7 +46,9 @@ surv AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best_n) AS
 older AS (
   SELECT query_id, key, string_agg(' Supersedes ' || doc_id || ', ' || strftime(published, '%b %Y') || '.', '' ORDER BY n) AS said,
     string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM best WHERE newest > 1 GROUP BY 1, 2),
-near AS (SELECT x.query_id, x.doc_id, list(y.doc_id) AS close FROM surv x JOIN surv y ON x.query_id = y.query_id AND y.k < x.k WHERE {pair} > {ceiling} GROUP BY 1, 2),
+allp AS MATERIALIZED (SELECT x.doc_id AS i, y.doc_id AS j, {pair} AS exact FROM store x JOIN store y ON x.doc_id <> y.doc_id),
+closep AS MATERIALIZED (SELECT i, j FROM allp WHERE exact > {ceiling}),
+near AS (SELECT x.query_id, x.doc_id, list(y.doc_id) AS close FROM surv x JOIN closep ON i = x.doc_id JOIN surv y ON y.doc_id = j AND x.query_id = y.query_id AND y.k < x.k GROUP BY 1, 2),
 cand AS (
   SELECT s.query_id, s.k, s.doc_id, grp IS NULL AS alone, coalesce(close, []) AS close, seed_e IS NOT NULL AND {_cos("s.e", "seed_e")} > {ceiling} AS at_seed
   FROM surv s LEFT JOIN near USING (query_id, doc_id)),
@@ -64,6 +65,10 @@ kept AS (
 _PAIR = _cos("x.e", "y.e")
 
 
+#: Similarity to the closest of ``before`` (query_id, doc_id), from the pairs of all documents.
+_AMONG_ALL = "(SELECT max(round(exact, 6)) FROM allp JOIN ({before}) b ON b.doc_id = allp.j WHERE b.query_id = s.query_id AND allp.i = s.doc_id)"
+
+
 def _explained(topics: str, first: str, related: str, pages: str) -> str:
     """CTEs from kept, ranked, store and asked(query_id, e, recent) to told(query_id, pick, doc_id, title, topics, score, reason, signals).
 
@@ -71,9 +76,7 @@ def _explained(topics: str, first: str, related: str, pages: str) -> str:
     """
     return f"""
 short AS (SELECT k.query_id, k.doc_id, round({_cos("a.e", "s.e")}, 6) AS seed_sim FROM kept k JOIN asked a USING (query_id) JOIN store s USING (doc_id)),
-pair AS (SELECT x.query_id, x.doc_id AS i, y.doc_id AS j, round({_cos("p.e", "q.e")}, 6) AS sim
-  FROM short x JOIN short y ON x.query_id = y.query_id JOIN store p ON p.doc_id = x.doc_id JOIN store q ON q.doc_id = y.doc_id),
-{_mmr(0.7, "t")},
+{_mmr(0.7, "t", 5, _AMONG_ALL)},
 picks AS ({_picked("t", "query_id, doc_id, pick")}),
 joined AS (
   SELECT p.query_id, p.pick, p.doc_id, s.title, s.topics, s.published, r.score, r.sim, r.agg, r.rec, r.hits, r.best, a.recent, coalesce(o.said, '') AS said,
@@ -101,8 +104,8 @@ FROM (SELECT query_id FROM everyone) a LEFT JOIN told USING (query_id) GROUP BY
 
 
 def _top(score: str, source: str) -> str:
-    """ranked(query_id, n, doc_id, score, ...): the best of ``source`` with the columns sim, agg, rec, hits, best."""
-    return f"ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM (SELECT *, {score} AS score FROM {source})) WHERE n <= {POOL})"
+    """ranked(query_id, n, doc_id, score, ...): all of ``source`` with the columns sim, agg, rec, hits, best."""
+    return f"ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n FROM (SELECT *, {score} AS score FROM {source})))"
 
 
 _MORE = f"""

@@ -10,13 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
-from lectern.operators import chunking, dense, fusion, lexical, recommend, sessions, tools
+from lectern.operators import chunking, dense, fusion, lexical, lists, recommend, sessions, tools
 from lectern.plans import queries as base
 from lectern.plans.scratch import Scratch
 from lectern.sources import prompts
 
-POOL = 30
-
 
 def _group(key: str) -> Column:
     return F.when(F.col(key) % 10 < 2, F.col(key) - F.col(key) % 10).alias("lineage_group")
@@ -74,8 +72,8 @@ def more_like_this(spark: SparkSession, d: str) -> DataFrame:
             F.col("embedding").cast("array<double>").alias("seed_vector"), F.col("topics").alias("context_topics"),
         )
     )
-    ranked = Scratch(spark, "ranked").save(tools.ranked_catalogue(asked, store, F.lit(base.AS_OF).cast("timestamp"), pool=POOL), "ranked")
-    return _listed(asked, tools.select_and_explain(ranked, asked, store))
+    ranker = lists.ScoredCatalogue(asked, store, F.lit(base.AS_OF).cast("timestamp"))
+    return _listed(asked, tools.select_and_explain(ranker, asked, store))
 
 
 def _search(spark: SparkSession, d: str, scoped: bool, k: int, shortlist: int = 10) -> DataFrame:
@@ -125,8 +123,8 @@ def recommend_for_query(spark: SparkSession, d: str) -> DataFrame:
     asked = base._embedded(base._items(spark, d), "query_id").withColumnRenamed("embedding", "vector")
     found = Scratch(spark, "hits").save(_search(spark, d, False, 10), "hits")
     hits = found.select("query_id", F.col("place").alias("rank"), F.col("id").alias("doc_id"), (F.col("id") % 7 + 1).alias("page"))
-    ranked = Scratch(spark, "ranked").save(tools.ranked_catalogue(asked, store, F.lit(base.AS_OF).cast("timestamp"), hits, POOL), "ranked")
-    return _listed(asked, tools.select_and_explain(ranked, _as_queries(asked), store, hits=hits))
+    ranker = lists.ScoredCatalogue(asked, store, F.lit(base.AS_OF).cast("timestamp"), hits)
+    return _listed(asked, tools.select_and_explain(ranker, _as_queries(asked), store, hits=hits))
 
 
 def _session_queries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -138,11 +136,11 @@ def _session_queries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]
 
 
 def _for_sessions(spark: SparkSession, d: str, store: DataFrame, shown: DataFrame | None) -> DataFrame:
-    recent, profiles = _session_queries(spark, d)
-    ranked = Scratch(spark, "ranked").save(tools.ranked_for_sessions(recent, profiles, store, shown, POOL), "ranked")
+    scratch = Scratch(spark, "sessions")
+    recent, profiles = (scratch.save(x, "asked") for x in _session_queries(spark, d))
     counted = recent.groupBy("query_id").agg(F.count("*").cast("int").alias("recent_queries"))
     asked = _as_queries(profiles.join(counted, "query_id", "left").fillna(0, ["recent_queries"]))
-    return tools.select_and_explain(ranked, asked, store)
+    return tools.select_and_explain(lists.SessionAffinity(recent, profiles, store, shown), asked, store)
 
 
 def recommend_for_user(spark: SparkSession, d: str) -> DataFrame:
