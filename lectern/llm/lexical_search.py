@@ -11,8 +11,10 @@ Search, exact in every shard: a block bounds the score between its first and las
 document by weight times maximum, so the sum of an item's blocks is a step function
 over the documents of the shard. WAND's test, whether the bounds at a document reach
 the k-th best score so far, is made for all steps at once. The highest steps are
-scored first; of the others only those that still reach the k-th best, and blocks
-without such a document are never opened.
+scored first; of the others only those that still reach the k-th best. In these, the
+pivots are the documents of lists that can reach it; the blocks of the other lists
+bound each pivot, and are opened, the strongest list first, only for pivots that can
+still make it.
 
 Statistics (documents with a term, terms altogether, documents of each term) come
 from all documents. ``terms`` may restrict the index to the terms that will be
@@ -222,45 +224,88 @@ class Posting:
     def __post_init__(self) -> None:
         self.begins = np.concatenate(([0], self.ends[:-1]))
         self.first, self.last = self.places[self.begins], self.places[self.ends - 1]
+        self.most = self.weight * int(self.highs.max())
 
+    def opened(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, impacts) of the blocks with a live place; ``seen``: live places before each place."""
+        hit = seen[self.last + 1] > seen[self.first]
+        if hit.all():
+            return self.places, self.impacts
+        begin, size = self.begins[hit], (self.ends - self.begins)[hit]
+        own = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        return self.places[own], self.impacts[own]
 
-def best_documents(postings: list[Posting], n_places: int, k: int, first_steps: int) -> tuple[list[tuple[int, int]], int]:
-    """((place, score) of the k best, ties to the lower place; postings opened)."""
-    postings = [x for x in postings if x.weight > 0]
-    if not postings:
-        return [], 0
+    def bounds(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(block, what it may add) at each place; between two blocks nothing."""
+        block = np.minimum(np.searchsorted(self.last, places), len(self.last) - 1)
+        return block, np.where((self.first[block] <= places) & (places <= self.last[block]), self.weight * self.highs[block], 0)
+
+    def impacts_at(self, places: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.places, places), len(self.places) - 1)
+        return np.where(self.places[at] == places, self.weight * self.impacts[at], 0)
+
+
+def _steps(postings: list[Posting]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, bound): the places between two block boundaries, and the sum of the blocks over them."""
     at = np.concatenate([y for x in postings for y in (x.first, x.last + 1)])
     change = np.concatenate([y for x in postings for y in (x.weight * x.highs, -x.weight * x.highs)]).astype(np.int64)
     order = np.argsort(at, kind="stable")
     at, bound = at[order], np.cumsum(change[order])
     step = np.flatnonzero(np.append(at[1:] != at[:-1], False) & (bound > 0))  # the last change at a place holds for it
-    lo, hi, bound = at[step], at[step + 1], bound[step]
-    least, opened, found_at, found = 1, 0, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return at[step], at[step + 1], bound[step]
+
+
+def _score_steps(postings: list[Posting], begin: np.ndarray, end: np.ndarray, n_places: int, least: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(places, scores, postings opened) of the documents in the steps that score ``least`` or more.
+
+    ``postings`` by rising maximum. Lists that even together stay below ``least``
+    name no document; their blocks are opened only for documents of the other lists
+    that still can reach it.
+    """
+    live = np.zeros(n_places + 1, dtype=np.int64)
+    np.add.at(live, begin, 1)
+    np.add.at(live, end, -1)
+    live = np.cumsum(live)[:n_places] > 0
+    seen = np.concatenate(([0], np.cumsum(live)))
+    n_minor = int(np.searchsorted(np.cumsum([x.most for x in postings]), least))
+    score, opened = np.zeros(n_places, dtype=np.int64), 0
+    for x in postings[n_minor:]:
+        places, impacts = x.opened(seen)
+        opened += len(places)
+        score[places] += x.weight * impacts
+    places = np.flatnonzero(live & (score > 0))
+    score = score[places]
+    minor = postings[:n_minor][::-1]
+    blocks = [x.bounds(places) for x in minor]
+    rest = np.sum([b for _, b in blocks], axis=0) if minor else np.zeros(len(places), dtype=np.int64)
+    left = np.arange(len(places))
+    for x, (block, bound) in zip(minor, blocks, strict=True):
+        keep = score[left] + rest[left] >= least
+        left = left[keep]
+        here = left[bound[left] > 0]
+        opened += int((x.ends - x.begins)[np.unique(block[here])].sum())
+        score[here] += x.impacts_at(places[here])
+        rest[left] -= bound[left]
+    left = left[score[left] >= least]
+    return places[left], score[left], opened
+
+
+def best_documents(postings: list[Posting], n_places: int, k: int, first_steps: int) -> tuple[list[tuple[int, int]], int]:
+    """((place, score) of the k best, ties to the lower place; postings opened)."""
+    postings = sorted((x for x in postings if x.weight > 0), key=lambda x: x.most)
+    if not postings:
+        return [], 0
+    # a list of k blocks has k documents that reach its k-th highest block maximum
+    least = max(1, *(x.weight * int(np.partition(x.highs, -k)[-k]) if len(x.highs) >= k else 1 for x in postings))
+    begin, end, bound = _steps(postings)
     todo = np.argsort(-bound, kind="stable")
+    found_at, found, opened = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 0
     while todo.size:
         chosen = todo[:first_steps]
         todo, first_steps = todo[first_steps:], 1 << 62
-        live = np.zeros(n_places + 1, dtype=np.int64)
-        np.add.at(live, lo[chosen], 1)
-        np.add.at(live, hi[chosen], -1)
-        live = np.cumsum(live)[:n_places] > 0
-        seen = np.concatenate(([0], np.cumsum(live)))
-        score = np.zeros(n_places, dtype=np.int64)
-        for x in postings:
-            hit = seen[x.last + 1] > seen[x.first]
-            n_hit = int(hit.sum())
-            if not n_hit:
-                continue
-            if n_hit == len(hit):
-                places, impacts = x.places, x.impacts
-            else:
-                begin, size = x.begins[hit], (x.ends - x.begins)[hit]
-                own = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-                places, impacts = x.places[own], x.impacts[own]
-            opened += len(places)
-            score[places] += x.weight * impacts
-        here = np.flatnonzero(live & (score >= least))
-        found_at, found = np.concatenate((found_at, here)), np.concatenate((found, score[here]))
+        here, score, made = _score_steps(postings, begin[chosen], end[chosen], n_places, least)
+        opened += made
+        found_at, found = np.concatenate((found_at, here)), np.concatenate((found, score))
         if len(found) > k:
             best = np.lexsort((found_at, -found))[:k]
             found_at, found = found_at[best], found[best]
