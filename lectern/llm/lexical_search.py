@@ -55,7 +55,7 @@ class LexicalSearch:
     shard_postings: int = 6_000_000
     longest_block: int = 32
     #: What one more block costs, in units of impact.
-    block_cost: float = 400_000.0
+    block_cost: float = 200_000.0
     items_a_block: int = 256
     #: Most distinct terms of the items that are broadcast; more are joined.
     broadcast_terms: int = 200_000
