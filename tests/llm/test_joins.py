@@ -5,12 +5,14 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
 import corpus_pipeline
 from lectern.llm.embedding_dedup import RangeJoin, choose_cells, near_duplicates, unit
 from lectern.llm.jaccard import JaccardJoin, keep_one, similar_components
+from lectern.llm.shingles import Shingler
 from lectern.llm.tables import table
 from lectern.plans.components import connected_components
 from lectern.plans.scratch import Scratch
@@ -221,3 +223,32 @@ def test_stages_with_edge_rows_and_clashing_names(spark, sf_dir):
     packed = stages.pack_sequences(spark, df, sf_dir)
     assert packed.where("doc_id = 900001").first().length == 1
     assert stages.pack_sequences(spark, df.limit(0), sf_dir).count() == 0
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1_024, 4_096])
+def test_words_of_regular_patterns_are_told_apart(spark, n):
+    """A polynomial modulo a power of two gives such a word and its complement one hash."""
+    word = thue_morse(n)
+    other = word.translate(str.maketrans("ab", "ba"))
+    shared = " ".join(f"w{i}" for i in range(9))
+    texts = [word, other, f"{word} {shared}", f"{other} {shared}", f"x {word} y {word} z {word}", f"x {other} y {other} z {other}", other + " " * 3]
+    rows = similar_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Scratch(spark, "t")).collect()
+    # of documents 2 and 3 only one of six shingles differs from five that are shared: 5 of 7 are too few
+    assert {r.doc_id: r.component_id for r in rows} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 1}
+
+
+def test_shingle_sets_match_those_of_words():
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices(["a", "B", "ab", "ba", "aa", "é", "Ü", "x" * 70, "x" * 71], k=rng.randint(0, 30))) for _ in range(200)]
+    sets = []
+    for t in texts:
+        w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in t.split()]
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    hashed = [set(s.tolist()) for s in Shingler(5).of_column(pa.array(texts))]
+    for a in range(0, 200, 7):
+        for b in range(200):
+            assert len(hashed[a] & hashed[b]) == len(sets[a] & sets[b]) and len(hashed[a]) == len(sets[a])
