@@ -35,6 +35,8 @@ ASCII_PATTERN = (
 NONE = np.int64(1 << 40)
 CHUNK_CHARS = 300_000
 CACHE_WORDS = 250_000
+#: Bytes of pre-tokens and ids that the cache may hold when a chunk begins.
+CACHE_BYTES = 64_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -185,13 +187,20 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes texts with a bounded cache of pre-tokens met before."""
+    """Encodes texts with a cache of pre-tokens met before, bounded by their number and bytes.
 
-    def __init__(self, vocab: Vocabulary, cache_words: int = CACHE_WORDS):
-        self.vocab, self.cache_words = vocab, cache_words
+    It is emptied between chunks of texts, so it may go beyond its bounds by one chunk.
+    """
+
+    def __init__(self, vocab: Vocabulary, cache_words: int = CACHE_WORDS, cache_bytes: int = CACHE_BYTES):
+        self.vocab, self.cache_words, self.cache_bytes = vocab, cache_words, cache_bytes
         self._clear()
 
+    def _full(self) -> bool:
+        return len(self.code) > self.cache_words or self.held > self.cache_bytes
+
     def _clear(self) -> None:
+        self.held = 0
         self.code: dict[str, int] = {}
         self.lens = np.zeros(0, dtype=np.int64)
         self.starts = np.zeros(0, dtype=np.int64)
@@ -205,6 +214,7 @@ class Encoder:
         self.starts = np.concatenate((self.starts, self.ids.size + np.cumsum(counts) - counts))
         self.lens = np.concatenate((self.lens, counts))
         self.ids = np.concatenate((self.ids, ids))
+        self.held += sum(map(len, words)) + 4 * ids.size
 
     def _codes(self, words: list) -> np.ndarray:
         got = np.fromiter(map(self.code.get, words, repeat(-1)), dtype=np.int64, count=len(words))
@@ -254,11 +264,11 @@ class Encoder:
             if chars > CHUNK_CHARS:
                 yield words, sizes
                 words, sizes, chars = [], [], 0
-                if len(self.code) > self.cache_words:
+                if self._full():
                     self._clear()
         if sizes:
             yield words, sizes
-        if len(self.code) > self.cache_words:
+        if self._full():
             self._clear()
 
 

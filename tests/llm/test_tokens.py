@@ -145,3 +145,13 @@ def test_packing_places_every_id(spark, library):
             assert offset == at
             at += length
         assert at <= 64
+
+
+def test_cache_is_bounded_by_bytes():
+    """Words that never come again and are long do not stay."""
+    encoder = Encoder(vocabulary(PATH), cache_bytes=400_000)
+    for i in range(12):
+        text = chr(97 + i) * 100_000 + f" {i}"
+        [ids] = encoder.encode([text])
+        assert encoder.vocab.decode(ids) == text
+        assert encoder.held <= 400_000
