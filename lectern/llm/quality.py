@@ -94,7 +94,7 @@ def base_rules(df: DataFrame, rules: QualityRules) -> DataFrame:
     """Adds the base columns to ``df`` (doc_id, text, w and any others)."""
     windows = "transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))"
     # words hold no space, so joined windows are equal only where their words are
-    placed = "transform(sequence(0, size(w) - 3), i -> struct(concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS x, i AS i))"
+    placed = "transform(c, e -> struct(concat_ws(' ', w[e.i], w[e.i + 1], w[e.i + 2]) AS x, e.i AS i))"
     lines = f"filter(split(coalesce(text, ''), '\\n'), l -> l RLIKE '[^\\\\x20\\\\x09-\\\\x0D]')"
     df = df.select(
         *df.columns,
@@ -107,16 +107,17 @@ def base_rules(df: DataFrame, rules: QualityRules) -> DataFrame:
     df = df.select(
         *[c for c in df.columns if c != "lines"],
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
-        # only a text in which some window's hash repeats is looked at further, by its words
-        F.expr(f"CASE WHEN size(array_distinct(h)) < size(h) THEN sort_array({placed}) ELSE array() END").alias("s"),
+        F.expr("CASE WHEN size(array_distinct(h)) < size(h) THEN sort_array(transform(h, (x, i) -> struct(x AS x, i AS i))) ELSE array() END").alias("c"),
     )
-    again = "filter(s, (e, j) -> (j > 0 AND s[j - 1].x = e.x) OR (j < size(s) - 1 AND s[j + 1].x = e.x))"
-    df = df.withColumn("r", F.expr(f"sort_array(transform({again}, e -> e.i))"))
+    # only windows whose hash repeats are looked at further, by their words
+    again = "filter({0}, (e, j) -> (j > 0 AND {0}[j - 1].x = e.x) OR (j < size({0}) - 1 AND {0}[j + 1].x = e.x))".format
+    df = df.withColumn("c", F.expr(again("c"))).withColumn("s", F.expr(f"sort_array({placed})"))
+    df = df.withColumn("r", F.expr(f"sort_array(transform({again('s')}, e -> e.i))"))
     # words in a sorted run of windows: each window adds what the one before left uncovered
     covered = (
         "aggregate(r, named_struct('n', 0L, 'p', -3), (a, i) -> named_struct('n', a.n + least(3, i - a.p), 'p', i), a -> a.n)"
     )
-    df = df.withColumn("n_repeat_words", F.expr(covered)).drop("s", "r", "h")
+    df = df.withColumn("n_repeat_words", F.expr(covered)).drop("s", "r", "h", "c")
     failed = (F.col("n_words") < rules.min_words) | (
         100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")
     )

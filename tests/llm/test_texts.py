@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -438,3 +439,37 @@ def test_oracles(spark, sf_dir, name):
     got = queries.queries()[name](spark, sf_dir).select(*columns).collect()
     assert sorted(str(tuple(r)) for r in got) == want
     assert oracles.OP1 and F
+
+
+def test_language_logits_match_brute_force():
+    """Buckets, averages, softmax and rejection worked out one n-gram at a time from the learned table."""
+    texts = ["the cat sat on the mat", "le chat est là, très noir", "der Hund läuft schnell über die Straße", "x", "ÄÖÜ"]
+    model = langid.fit_texts(texts[:3] * 8, ["en", "fr", "de"] * 8, langid.LanguageModel(bits=9, epochs=3, least_steps=60))
+    c = model.config
+    for text, (lang, score, accepted) in zip(texts, langid.predict_texts(texts, model), strict=True):
+        raw, sums, n = f" {text.lower()} ".encode(), [0.0] * len(model.languages), 0
+        for order in c.orders:
+            for i in range(len(raw) - order + 1):
+                key = order
+                for b in raw[i : i + order]:
+                    key = (key * 257 + b) % 2**32
+                row = model.table[(key * 2654435761 % 2**32) >> (32 - c.bits)]
+                sums, n = [s + float(x) for s, x in zip(sums, row, strict=True)], n + 1
+        z = [s / max(n, 1) / model.temperature for s in sums]
+        p = [math.exp(x - max(z)) for x in z]
+        p = [x / sum(p) for x in p]
+        assert lang == model.languages[p.index(max(p))] and score == pytest.approx(max(p), abs=1e-9) and accepted == (max(p) >= model.threshold)
+
+
+def test_language_embeddings_follow_the_gradient():
+    """One step of descent on one text, by differences of the loss."""
+    c = langid.LanguageModel(bits=6, dim=3, epochs=1, least_steps=1, batch=1, rate=1.0)
+    bag, weight = langid._bag("ab", c)
+    rng = np.random.default_rng(1)
+    emb, out = rng.normal(size=(64, 3)), rng.normal(size=(3, 2))
+    loss = lambda e, o: -math.log(langid._softmax(weight @ e[bag] @ o)[1])
+    grad = langid._softmax(weight @ emb[bag] @ out) - np.array([0.0, 1.0])
+    for i, b in enumerate(bag):
+        step = np.zeros_like(emb)
+        step[b, 0] = 1e-6
+        assert (loss(emb + step, out) - loss(emb - step, out)) / 2e-6 == pytest.approx(weight[i] * (grad @ out.T)[0], abs=1e-6)
