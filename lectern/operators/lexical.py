@@ -7,11 +7,18 @@ nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import search_terms
 
+K1 = 1.2
+B = 0.75
+
+
+def idf(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
 
 def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf, dl): occurrences of each term and the length of the row."""
@@ -20,27 +27,32 @@ def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
     return terms.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, rows: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score) of ``queries`` (query_id, text) against ``rows`` (id, text)."""
-    asked = queries.select("query_id", F.explode(search_terms(F.col("text"))).alias("term"))
-    asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+def bm25(queries: DataFrame, rows: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, id, score) of ``queries`` (query_id, text) against ``rows`` (id, text).
+
+    Where queries have a ``scope``, rows have a ``doc``: a scope that is not null
+    meets the postings of that document only, before anything is scored.
+    """
+    scoped = "scope" in queries.columns
+    own = ["scope"] if scoped else []
+    asked = queries.select("query_id", *own, F.explode(search_terms(F.col("text"))).alias("term"))
+    asked = asked.groupBy("query_id", *own, "term").agg(F.count("*").alias("qtf"))
     lengths = rows.select(F.size(search_terms(F.col("text"))).alias("dl"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     # only the terms asked for are grouped: their postings are all that scores need
     posted = postings(rows, "id", "text").join(asked.select("term").distinct(), "term", "left_semi")
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
     n, avgdl = (stats.select(c).scalar() for c in ("n", "avgdl"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    hits = asked.join(df, "term").join(posted, "term")
-    return hits.groupBy("query_id", "id").agg(F.round(F.sum(F.col("qtf") * idf * tf), 6).alias("score"))
-
-
-def within_scope(scores: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Scores of the rows (id, doc) that a query (query_id, scope) is not barred from; before any top K."""
-    asked, owners = queries.select("query_id", "scope"), rows.select("id", "doc")
-    kept = scores.join(asked, "query_id").join(owners, "id").where(F.col("scope").isNull() | (F.col("scope") == F.col("doc")))
-    return kept.select("query_id", "id", "score")
+    weighted = asked.join(df, "term")
+    if scoped:
+        free = weighted.where("scope IS NULL").join(posted, "term")
+        bound = weighted.where("scope IS NOT NULL").join(posted.join(rows.select("id", F.col("doc").alias("scope")), "id"), ["term", "scope"])
+        columns = ["query_id", "id", "qtf", "df", "tf", "dl"]
+        hits = free.select(columns).unionByName(bound.select(columns))
+    else:
+        hits = weighted.join(posted, "term")
+    return hits.groupBy("query_id", "id").agg(F.round(F.sum(F.col("qtf") * idf(n, F.col("df")) * tf), 6).alias("score"))
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:

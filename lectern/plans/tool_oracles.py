@@ -203,6 +203,13 @@ seeds AS (SELECT DISTINCT query_id, NULL::BIGINT AS seed_id, NULL::BIGINT AS see
 SELECT k.query_id, nth AS rank, k.doc_id FROM kept k JOIN short s ON s.query_id = k.query_id AND s.doc_id = k.doc_id"""
 
 
+_FILTERED = f"""
+WITH {_bm25(20)}
+SELECT query_id, CAST(rank AS INT) AS rank, id, score FROM (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score
+  FROM bs JOIN documents d ON d.doc_id = id WHERE source = 'src' || query_id % 20) WHERE rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "more_like_this": _MORE,
@@ -217,11 +224,10 @@ WITH RECURSIVE {_DOC_STORE},
 SELECT query_id, pick, doc_id, reason FROM told""",
         "duplicate_resolver": _RESOLVER,
         "dedup_ceiling": _CEILING,
-        "bm25_topk_filtered": f"""
-WITH {_bm25(20)}
-SELECT query_id, CAST(rank AS INT) AS rank, id, score FROM (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score
-  FROM bs JOIN documents d ON d.doc_id = id WHERE source = 'src' || query_id % 20) WHERE rank <= 20""",
+        "bm25_topk_filtered": _FILTERED,
+        "bm25_indexed": f"WITH {_bm25(20)} SELECT query_id, CAST(rank AS INT) AS rank, id, score FROM bm",
+        "bm25_indexed_filtered": _FILTERED,
+        "bm25_index_work": f"WITH {_bm25(20)} SELECT query_id, count(*) AS matched, true AS bounded FROM q JOIN post USING (term) GROUP BY query_id",
         "hybrid_topk_filtered": f"WITH {_bm25(20)}, {_VECTORS}, {_search(True, 6)} SELECT query_id, place, id, round(grade, 4) AS grade FROM placed",
         "hybrid_search": f"""{_PASSAGES}
 SELECT item_id AS query_id, md5(coalesce(passages, 'No passages found.')) AS answer_md5, CASE WHEN passages IS NULL THEN 'No passages found.' END AS none

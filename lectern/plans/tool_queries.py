@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
-from lectern.operators import chunking, dense, fusion, lexical, lists, recommend, sessions, tools
+from lectern.operators import chunking, dense, fusion, lexical, lexical_index, lists, recommend, sessions, tools
 from lectern.plans import queries as base
 from lectern.plans.scratch import Scratch
 from lectern.sources import prompts
@@ -84,7 +84,7 @@ def _search(spark: SparkSession, d: str, scoped: bool, k: int, shortlist: int =
     q = base._embedded(items, "query_id").withColumnRenamed("embedding", "vector").join(items.select("query_id", "scope"), "query_id")
     r = base._embedded(docs, "id").withColumnRenamed("embedding", "vector").join(docs.select("id", F.col("doc").alias("scope")), "id")
     near = dense.dense_topk(q, r, 20)
-    words = lexical.top(lexical.within_scope(lexical.bm25(items.select("query_id", "text"), docs.select("id", "text")), items, docs), 20)
+    words = lexical.top(lexical.bm25(items, docs) if scoped else lexical.bm25(items.select("query_id", "text"), docs), 20)
     found = fusion.hybrid(near, words, items, docs, shortlist, k)
     return found.select("query_id", "place", "id", "doc", "grade")
 
@@ -92,7 +92,30 @@ def _search(spark: SparkSession, d: str, scoped: bool, k: int, shortlist: int =
 def bm25_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     items, docs = base._items(spark, d), base._docs(spark, d)
     scoped = items.withColumn("scope", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
-    return lexical.top(lexical.within_scope(lexical.bm25(items, docs.select("id", "text")), scoped, docs), 20)
+    return lexical.top(lexical.bm25(scoped, docs), 20)
+
+
+def _indexed(spark: SparkSession, d: str, name: str, scope: Column | None) -> tuple[DataFrame, DataFrame]:
+    """Results and work of a search that reads a stored index of all documents."""
+    scratch = Scratch(spark, name)
+    lexical_index.build(base._docs(spark, d)).write(f"{scratch.path}/index")
+    items = base._items(spark, d)
+    items = items if scope is None else items.withColumn("scope", scope)
+    return lexical_index.search(lexical_index.LexicalIndex.read(spark, f"{scratch.path}/index"), items, 20, scratch)
+
+
+def bm25_indexed(spark: SparkSession, d: str) -> DataFrame:
+    return _indexed(spark, d, "index", None)[0]
+
+
+def bm25_indexed_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return _indexed(spark, d, "index", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))[0]
+
+
+def bm25_index_work(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of each item's terms, and whether bounds kept some of them closed or all were needed."""
+    work = _indexed(spark, d, "index", None)[1]
+    return work.select("query_id", "matched", (F.col("opened") <= F.col("matched")).alias("bounded"))
 
 
 def hybrid_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
@@ -173,6 +196,6 @@ def duplicate_resolver(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, base.Query]:
     found = (
         more_like_this, recommend_for_query, recommend_for_user, sidebar_recommend, duplicate_resolver,
-        bm25_topk_filtered, hybrid_topk_filtered, hybrid_search, answer_question,
+        bm25_topk_filtered, bm25_indexed, bm25_indexed_filtered, bm25_index_work, hybrid_topk_filtered, hybrid_search, answer_question,
     )
     return {q.__name__: q for q in found}
