@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.operators import lineage
+from lectern.operators import lineage_state
 from lectern.operators.tools import SCAN_SUFFIX
 from lectern.plans.scratch import Scratch
 from lectern.sources.files import is_pdf
@@ -50,19 +51,9 @@ def union_with_stored(batch: DataFrame, stored: DataFrame, key: str) -> DataFram
     return batch.unionByName(stored.join(batch.select(key).distinct(), key, "left_anti").select(*batch.columns))
 
 
-def incremental_groups(batch: DataFrame, stored: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, lineage_group) of all documents after a batch (doc_id, title, cluster, published_on, embedding).
-
-    Links never leave a cluster, so only clusters that the batch touches, by new
-    rows or by rows it moves away, are grouped again; ``stored`` has ``lineage_group`` too.
-    """
-    before = stored.join(batch.select("doc_id"), "doc_id", "left_semi").select("cluster")
-    touched = batch.select("cluster").unionByName(before).distinct()
-    columns = batch.columns
-    again = union_with_stored(batch, stored.select(*columns), "doc_id").join(touched, "cluster", "left_semi").select(*columns)
-    found = lineage.groups(again, scratch)
-    left = stored.join(touched, "cluster", "left_anti").where("lineage_group IS NOT NULL")
-    return found.unionByName(left.select("doc_id", "lineage_group"))
+def incremental_groups(batch: DataFrame, stored: dict[str, DataFrame], scratch: Scratch) -> dict[str, DataFrame]:
+    """Lineage state after a batch (doc_id, title, cluster, published_on, embedding); see :mod:`lectern.operators.lineage_state`."""
+    return stored | lineage_state.apply(stored, batch, batch.select("doc_id").distinct(), scratch)
 
 
 def append_tables(prose: DataFrame, tables: DataFrame, key: str) -> DataFrame:
@@ -95,12 +86,21 @@ def native_scan_pairs(docs: DataFrame) -> DataFrame:
 
 
 @contextlib.contextmanager
-def exclusive_run(spark: SparkSession, folder: str) -> Iterator[None]:
-    """One ingest run at a time: a second one on the same shared folder fails at once."""
+def exclusive_run(spark: SparkSession, folder: str, lease: float = 6 * 3_600) -> Iterator[None]:
+    """One run at a time on a shared folder: a second one fails at once.
+
+    A marker older than ``lease`` seconds is of a run that died and is taken over. Ingest
+    runs need none of this, as commits of :mod:`lectern.sources.store` exclude each other.
+    """
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/_running")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.createNewFile(path):
-        raise RuntimeError(f"an ingest run holds {folder}")
+        age = time.time() - fs.getFileStatus(path).getModificationTime() / 1000
+        if age <= lease:
+            raise RuntimeError(f"a run of {age:.0f} seconds holds {folder}")
+        fs.delete(path, False)
+        if not fs.createNewFile(path):
+            raise RuntimeError(f"another run took {folder}")
     try:
         yield
     finally:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.plans.oracles import _AFFINITY, _COMPONENTS, _TITLES, _terms, _words
+from lectern.plans.oracles import _AFFINITY, _COMPONENTS, _TITLES, _terms, _windows, _words
 
 _TOKENS = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 _SPLIT = _words("text")
@@ -74,6 +74,10 @@ WITH c AS (SELECT sha256(text) AS key, min(length(text)) AS value FROM documents
 SELECT doc_id AS id, sha256(text) AS key, value, value IS NOT NULL AS cached FROM documents LEFT JOIN c ON key = sha256(text) WHERE text IS NOT NULL""",
         "lineage_union": "SELECT s_suppkey AS doc_id, s_name AS title FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)",
         "incremental_lineage": f"WITH RECURSIVE {_TITLES}, {_COMPONENTS} SELECT doc_id, lineage_group FROM grp",
+        "ingest_run": f"""
+WITH w AS (SELECT doc_id, {_words("text")} AS ws FROM documents WHERE doc_id % 10 <> 7),
+c AS (SELECT doc_id, ws, unnest(st) AS start, generate_subscripts(st, 1) - 1 AS seq FROM (SELECT doc_id, ws, {_windows("ws", 800, 120)} AS st FROM w))
+SELECT doc_id, doc_id || '-' || format('{{:04d}}', seq) AS chunk_id, md5(array_to_string(ws[start + 1:start + 800], ' ')) AS text_md5 FROM c""",
         "lineage_listing": f"WITH RECURSIVE {_TITLES}, {_COMPONENTS} SELECT lineage_group, string_agg(doc_id::VARCHAR, ', ' ORDER BY doc_id) AS members FROM grp GROUP BY 1",
         "sanity_cosines": """
 WITH p AS (SELECT a, a + 7 * a % 40 + 1 AS b FROM (SELECT unnest(range(9)) AS a))

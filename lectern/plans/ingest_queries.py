@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from lectern.functions import replies
 from lectern.functions import text as tx
 from lectern.functions import vectors as vx
-from lectern.operators import chunking, fusion, guards, ingestion, lineage, lookup, recommend, sessions, tools
+from lectern.operators import chunking, fusion, guards, ingestion, lineage, lineage_state, lookup, recommend, sessions, tools
+from lectern.operators import ingest_run as ingest_run_steps
 from lectern.plans import queries as base
 from lectern.plans.scratch import Scratch
 from lectern.sources import extraction, files
+from lectern.sources.store import Store
 from lectern.streaming import sessions as streams
 
 
@@ -147,12 +149,29 @@ def lineage_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def incremental_lineage(spark: SparkSession, d: str) -> DataFrame:
-    """Two thirds of the documents are stored with their groups, then the last third comes."""
+    """Groups after three batches in a store: a third of the documents under the title of another, two thirds as they are, and the rest."""
     scratch = Scratch(spark, "incremental")
-    docs = scratch.save(base._catalogue(spark, d), "catalogue")
-    first = docs.where("doc_id % 3 <> 0")
-    stored = scratch.save(first.join(lineage.groups(first, scratch), "doc_id", "left"), "stored")
-    return ingestion.incremental_groups(docs.where("doc_id % 3 = 0"), stored, scratch)
+    docs = scratch.save(base._catalogue(spark, d).select("doc_id", "title", "cluster", "published_on", "embedding"), "catalogue")
+    store = Store(spark, f"{scratch.path}/store")
+    other = docs.where("doc_id % 3 = 1").join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("title").alias("next")), "doc_id", "left")
+    batches = [other.withColumn("title", F.coalesce("next", "title")).drop("next"), docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 3 = 0")]
+    for number, batch in enumerate(batches):
+        store.run(number, lambda at, batch=batch: lineage_state.apply({n: store.table(n, at) for n in lineage_state.TABLES}, batch, batch.select("doc_id"), scratch))
+    return store.table("groups")
+
+
+def ingest_run(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks in the store after four runs: some documents at twice their length, all of them, the same batch again, and removals."""
+    scratch = Scratch(spark, "ingest")
+    store = Store(spark, f"{scratch.path}/store")
+    docs = base._t(spark, d, "documents").select(
+        "doc_id", F.array_join(F.slice(tx.split_words(F.col("text")), 1, 8), " ").alias("title"), F.col("lang").alias("cluster"), F.lit("1998-03-05").cast("timestamp").alias("published_on"), "text"
+    )
+    twice = docs.where("doc_id % 4 = 0").withColumn("text", F.concat("text", F.lit(" "), "text"))
+    gone = docs.where("doc_id % 10 = 7").withColumn("removed", F.lit(True))
+    for number, batch, indexed in ((1, twice, False), (2, docs, False), (2, docs, False), (3, gone, True)):
+        ingest_run_steps.ingest(store, batch, number, scratch, ingest_run_steps.Steps(index=indexed))
+    return store.table("chunks").select("chunk_id", "doc_id", F.md5("text").alias("text_md5"))
 
 
 def lineage_listing(spark: SparkSession, d: str) -> DataFrame:
@@ -342,7 +361,7 @@ def grade_replies(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, base.Query]:
     found = (
         manifest_scan, document_enumeration, fetch_status, layout_paragraphs, layout_tables, gold_questions, gold_recommendations, telemetry_since, result_file, session_state,
-        summary_cache, lineage_union, incremental_lineage, lineage_listing, sanity_cosines, chunks_with_tables, chunk_variable, ingestion_counters, section_spans, token_prefix, ocr_pages,
+        summary_cache, lineage_union, incremental_lineage, ingest_run, lineage_listing, sanity_cosines, chunks_with_tables, chunk_variable, ingestion_counters, section_spans, token_prefix, ocr_pages,
         scan_pairs, recommendable, document_pages, catalogue_files, unseen, surfaced_sets, turn_context, chunk_hits, hits_by_document, ranked_documents, passthrough_topk, affinity_rank,
         profile_affinity, citation_violations, citation_panel, summary_replies, grade_replies,
     )
