@@ -101,6 +101,46 @@ WITH p AS (SELECT conv_id, turn, turn % 4 = 1 AS heading, turn // 2 AS page, len
 i AS (SELECT *, sum(heading::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM p),
 g AS (SELECT conv_id, island, min(page) AS page, max(page) FILTER (NOT heading) AS end_page, sum(n) FILTER (NOT heading)::BIGINT AS n_tokens FROM i GROUP BY 1, 2 HAVING count(*) FILTER (NOT heading) > 0)
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY island) - 1 AS section, page, end_page, n_tokens FROM g""",
+        "section_windows": f"""
+WITH RECURSIVE para AS (SELECT conv_id, turn, turn % 4 = 1 AS heading, turn // 2 AS page, text, {_SPLIT} AS ws FROM conversations),
+isl AS (SELECT *, sum(heading::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM para),
+sec AS (
+  SELECT conv_id, island, arg_min(page, turn) AS page, max(page) FILTER (NOT heading) AS end_page, max(text) FILTER (heading) AS heading,
+    string_agg(text, chr(10) ORDER BY turn) FILTER (NOT heading) AS body FROM isl GROUP BY 1, 2 HAVING coalesce(sum(len(ws)) FILTER (NOT heading), 0) > 0),
+w AS (SELECT conv_id, island, turn, page, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM isl WHERE NOT heading),
+k AS (SELECT *, row_number() OVER o AS k, sum(length(w)) OVER o AS spent FROM w WINDOW o AS (PARTITION BY conv_id, island ORDER BY turn, i)),
+p AS (SELECT conv_id, island, list_prepend(0::HUGEINT, list(spent ORDER BY k)) AS p, count(*) AS n, max(spent) AS total FROM k GROUP BY 1, 2),
+cut AS (
+  SELECT conv_id, island, 0::BIGINT AS a, greatest(1, len(list_filter(p, lambda x: x <= 200)) - 1)::BIGINT AS z FROM p WHERE total > 300
+  UNION ALL
+  SELECT conv_id, island, a, greatest(a + 1, len(list_filter(p, lambda x: x <= p[a + 1] + 200)) - 1)::BIGINT FROM (
+    SELECT c.conv_id, c.island, p.p, greatest(c.a + 1, len(list_filter(p.p, lambda x: x < p.p[c.z + 1] - 40)))::BIGINT AS a
+    FROM cut c JOIN p ON p.conv_id = c.conv_id AND p.island = c.island WHERE c.z < n)),
+large AS (
+  SELECT c.conv_id, c.island, c.a, arg_min(page, k) AS page, arg_max(page, k) AS end_page, string_agg(w, ' ' ORDER BY k) AS body
+  FROM cut c JOIN k ON k.conv_id = c.conv_id AND k.island = c.island AND k.k > c.a AND k.k <= c.z GROUP BY 1, 2, 3),
+every AS (
+  SELECT s.conv_id, s.island, 0 AS a, s.page, s.end_page, heading, body FROM sec s JOIN p USING (conv_id, island) WHERE total <= 300
+  UNION ALL SELECT l.conv_id, l.island, l.a, l.page, l.end_page, heading, l.body FROM large l JOIN sec s USING (conv_id, island)),
+prose AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY island, a) - 1 AS seq, page, end_page, 'Prose' AS kind,
+    CASE WHEN coalesce(heading, '') = '' THEN body ELSE heading || chr(10) || body END AS text FROM every),
+made AS (SELECT conv_id, count(*) AS n FROM prose GROUP BY 1),
+own AS (
+  SELECT conv_id, 3 - turn AS page, row_number() OVER (PARTITION BY conv_id ORDER BY 3 - turn) - 1 AS behind FROM conversations WHERE conv_id % 3 = 0 AND turn <= 1)
+SELECT conv_id, seq, page::BIGINT AS page, end_page::BIGINT AS end_page, kind, md5(text) AS text_md5 FROM prose
+UNION ALL SELECT conv_id, coalesce(n, 0) + behind, page, page, 'Table', md5('| table on ' || page || ' |') FROM own LEFT JOIN made USING (conv_id)""",
+        "layout_blocks": r"""
+WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?(?:-->|\z)', '', 'g'),
+  '(?is)<script\b.*?(?:</script>|\z)', '', 'g'), '(?is)<style\b.*?(?:</style>|\z)', '', 'g'), '(?is)<head\b.*?(?:</head>|\z)', '', 'g'), '(?is)<nav\b.*?(?:</nav>|\z)', '', 'g'),
+  '(?is)<footer\b.*?(?:</footer>|\z)', '', 'g'), '(?is)<div class=.ad.>.*?(?:</div>|\z)', chr(1), 'g') AS h FROM pages),
+marked AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '(?i)<h1\b[^>]*>', chr(1) || chr(2), 'g'), '(?i)</?(?:html|body|article|h1|p|ul|li|div|section)\b[^>]*>', chr(1), 'g'),
+  '(?i)<br\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS h FROM bare),
+piece AS (SELECT page_id, unnest(ps) AS t, generate_subscripts(ps, 1) AS i FROM (SELECT page_id, string_split(h, chr(1)) AS ps FROM marked)),
+told AS (
+  SELECT page_id, i, t LIKE chr(2) || '%' AS heading,
+    trim(regexp_replace(replace(replace(replace(replace(replace(t, chr(2), ''), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM piece)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS seq, CASE WHEN heading THEN 'SectionHeading' ELSE 'Body' END AS kind, md5(text) AS text_md5 FROM told WHERE text <> ''""",
         "token_prefix": f"""
 WITH w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM (SELECT doc_id, {_SPLIT} AS ws FROM documents)),
 s AS (SELECT *, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY k) AS spent FROM w),

@@ -16,7 +16,7 @@ from lectern.operators import chunking, fusion, guards, ingestion, lineage, line
 from lectern.operators import ingest_run as ingest_run_steps
 from lectern.plans import queries as base
 from lectern.plans.scratch import Scratch
-from lectern.sources import extraction, files
+from lectern.sources import extraction, files, layout
 from lectern.sources.store import Store
 from lectern.streaming import sessions as streams
 
@@ -216,6 +216,25 @@ def section_spans(spark: SparkSession, d: str) -> DataFrame:
     return parts.select("conv_id", F.col("section").cast("bigint").alias("section"), "page", "end_page", F.size(tx.split_words(F.col("text"))).cast("bigint").alias("n_tokens"))
 
 
+def section_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of a conversation, a word costing its length, with two tables for every third."""
+    c = base._t(spark, d, "conversations")
+    kind = F.when(F.col("turn") % 4 == 1, "SectionHeading").otherwise("Body")
+    rows = c.select("conv_id", F.col("turn").alias("seq"), F.floor(F.col("turn") / 2).alias("page"), kind.alias("kind"), "text")
+    own = c.where("conv_id % 3 = 0 AND turn <= 1").select("conv_id", (3 - F.col("turn")).alias("page"), F.lit(0).alias("nth"), F.concat(F.lit("| table on "), (3 - F.col("turn")).cast("string"), F.lit(" |")).alias("text"))
+    made = chunking.section_chunks(rows, "conv_id", 300, 200, 40, own, lambda w: F.length(w))
+    return made.select("conv_id", F.col("seq").cast("bigint").alias("seq"), F.col("page").cast("bigint").alias("page"), F.col("end_page").cast("bigint").alias("end_page"), "kind", F.md5("text").alias("text_md5"))
+
+
+def layout_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of all pages, of which the store held every second one before."""
+    store = Store(spark, f"{Scratch(spark, 'layout').path}/store")
+    pages = base._t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").cast("binary").alias("content"))
+    layout.analyse(pages.where("doc_id % 2 = 0"), store, 1)
+    found = layout.analyse(pages, store, 2)
+    return found.select(F.col("doc_id").alias("page_id"), F.col("seq").cast("bigint").alias("seq"), "kind", F.md5("text").alias("text_md5"))
+
+
 def token_prefix(spark: SparkSession, d: str) -> DataFrame:
     """Words of a text while their lengths add up to at most 2,000."""
     docs = base._t(spark, d, "documents").select("doc_id", tx.split_words(F.col("text")).alias("words"))
@@ -361,7 +380,7 @@ def grade_replies(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, base.Query]:
     found = (
         manifest_scan, document_enumeration, fetch_status, layout_paragraphs, layout_tables, gold_questions, gold_recommendations, telemetry_since, result_file, session_state,
-        summary_cache, lineage_union, incremental_lineage, ingest_run, lineage_listing, sanity_cosines, chunks_with_tables, chunk_variable, ingestion_counters, section_spans, token_prefix, ocr_pages,
+        summary_cache, lineage_union, incremental_lineage, ingest_run, lineage_listing, sanity_cosines, chunks_with_tables, chunk_variable, ingestion_counters, section_spans, section_windows, layout_blocks, token_prefix, ocr_pages,
         scan_pairs, recommendable, document_pages, catalogue_files, unseen, surfaced_sets, turn_context, chunk_hits, hits_by_document, ranked_documents, passthrough_topk, affinity_rank,
         profile_affinity, citation_violations, citation_panel, summary_replies, grade_replies,
     )

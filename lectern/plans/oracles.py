@@ -169,9 +169,9 @@ _PAGES = """
 bare AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'),
   '(?is)<script\\b.*?</script>', '', 'g'), '(?is)<style\\b.*?</style>', '', 'g'), '(?is)<nav\\b.*?</nav>', '', 'g'), '(?is)<footer\\b.*?</footer>', '', 'g'),
   '(?is)<head\\b.*?</head>', '', 'g'), '(?is)<div class=.ad.>.*?</div>', '', 'g') AS h FROM pages),
-cutp AS (SELECT page_id, unnest(p[2:]) AS piece, generate_subscripts(p[2:], 1) AS seq FROM (SELECT page_id, string_split_regex(regexp_replace(h, '(?i)<(h1>|p>)', chr(1) || '\\1', 'g'), chr(1)) AS p FROM bare)),
+cutp AS (SELECT page_id, unnest(p) AS piece, generate_subscripts(p, 1) AS seq FROM (SELECT page_id, string_split_regex(regexp_replace(h, '(?i)(<h1>|<p>)', chr(1) || '\\1', 'g'), chr(1)) AS p FROM bare)),
 para AS (
-  SELECT page_id, seq, lower(piece) LIKE 'h1%' AS heading, trim(regexp_replace(regexp_replace(piece, '(?s)^[^>]*>|<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM cutp),
+  SELECT page_id, seq, lower(piece) LIKE '<h1>%' AS heading, trim(regexp_replace(regexp_replace(piece, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM cutp),
 isl AS (SELECT *, sum(heading::INT) OVER (PARTITION BY page_id ORDER BY seq) AS island FROM para WHERE text <> ''),
 sec AS (
   SELECT page_id, island, max(text) FILTER (heading) AS heading, string_agg(text, chr(10) ORDER BY seq) FILTER (NOT heading) AS body
@@ -231,7 +231,7 @@ c AS (SELECT doc_id, ws, unnest(st) AS start, generate_subscripts(st, 1) - 1 AS
 SELECT doc_id, doc_id || '-' || format('{{:04d}}', seq) AS chunk_id, start, len(ws[start + 1:start + 800]) AS n_tokens, md5(array_to_string(ws[start + 1:start + 800], ' ')) AS text_md5 FROM c""",
         "chunk_sections": f"""
 WITH {_PAGES},
-w AS (SELECT *, {_words("body")} AS ws FROM sec),
+w AS (SELECT * FROM (SELECT *, {_words("body")} AS ws FROM sec) WHERE len(ws) > 0),
 c AS (SELECT page_id, island, heading, body, ws, unnest(st) AS start FROM (SELECT *, CASE WHEN len(ws) <= 100 THEN [0] ELSE {_windows("ws", 60, 10)} END AS st FROM w)),
 t AS (SELECT page_id, island, start, heading, CASE WHEN len(ws) <= 100 THEN body ELSE array_to_string(ws[start + 1:start + 60], ' ') END AS part FROM c)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY island, start) - 1 AS seq, heading,

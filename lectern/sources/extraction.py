@@ -41,11 +41,10 @@ def html_paragraphs(pages: DataFrame, key: str = "page_id", html: str = "html")
     """(key, seq, page, kind, text): headings and paragraphs of pages, furniture left out.
 
     Scripts, styles, comments, menus and footers go first; a paragraph runs to the
-    next heading, paragraph or the end.
+    next heading, paragraph or the end, and what stands before the first is one too.
     """
     bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|nav|footer|head)\b.*?</\1>|<div class=.ad.>.*?</div>", "")
-    pieces = F.slice(F.split(bare, r"(?i)<(?=h1>|p>)"), 2, 1_000_000_000)
-    cut = pages.select(key, F.posexplode(pieces).alias("seq", "piece"))
-    text = F.trim(F.regexp_replace(F.regexp_replace("piece", r"(?s)^[^>]*>|<[^>]*>", " "), r"\s+", " "))
-    kind = F.when(F.lower("piece").startswith("h1"), "SectionHeading").otherwise("Body")
+    cut = pages.select(key, F.posexplode(F.split(bare, r"(?i)(?=<h1>|<p>)")).alias("seq", "piece"))
+    text = F.trim(F.regexp_replace(F.regexp_replace("piece", r"<[^>]*>", " "), r"\s+", " "))
+    kind = F.when(F.lower("piece").startswith("<h1>"), "SectionHeading").otherwise("Body")
     return cut.select(key, "seq", F.lit(1).alias("page"), kind.alias("kind"), text.alias("text")).where("text <> ''")
