@@ -6,8 +6,17 @@ similarity of 0, never NULL or NaN.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+from lectern.plans.scratch import workers_import_package
 
 
 def _double(v: Column) -> Column:
@@ -28,23 +37,35 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(usable, dot(a, b) / scale).otherwise(F.lit(0.0))
 
 
-def bucket(token: Column, dim: int) -> Column:
+def bucket_of(token: str, dim: int) -> int:
     """Bucket of a token: the first eight hex digits of its md5, modulo ``dim``."""
-    return F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("bigint") % dim
+    return int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big") % dim
 
 
 def hash_embedding(df: DataFrame, key: list[str], tokens: str, dim: int = 64) -> DataFrame:
     """(key, embedding): token counts by bucket as an array<double> of ``dim``; no tokens give zeros.
 
-    One row for each row of ``df``; the counting stays inside the row.
+    One row for each row of ``df``, without a shuffle. Each different token of an Arrow
+    batch is hashed once, and the buckets of all its rows are counted together.
     """
-    buckets = F.transform(F.coalesce(F.col(tokens), F.array().cast("array<string>")), lambda t: bucket(t, dim).cast("int"))
-    # an array of one stands for the buckets, so that they are made once a row
-    value = F.transform(
-        F.array(buckets),
-        lambda b: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.size(b) - F.size(F.array_remove(b, i))).cast("double")),
-    )
-    return df.select(*key, value[0].alias("embedding"))
+    workers_import_package(df.sparkSession)
+    schema = StructType([*df.select(*key).schema.fields, StructField("embedding", ArrayType(DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column(len(key)).fill_null([])
+            coded = column.flatten().drop_null().dictionary_encode()
+            sizes = pc.list_value_length(column).to_numpy()
+            if column.flatten().null_count:
+                sizes = np.array([sum(t is not None for t in row) for row in column.to_pylist()])
+            place = np.array([bucket_of(t, dim) for t in coded.dictionary.to_pylist()], dtype=np.int64)
+            row = np.repeat(np.arange(b.num_rows), sizes)
+            counts = np.bincount(row * dim + place[coded.indices.to_numpy()], minlength=b.num_rows * dim) if row.size else np.zeros(b.num_rows * dim)
+            offsets = pa.array(np.arange(b.num_rows + 1) * dim, pa.int32())
+            embedding = pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.float64)))
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(key))], embedding], names=[*key, "embedding"])
+
+    return df.select(*key, F.col(tokens).cast("array<string>").alias("_tokens")).mapInArrow(run, schema)
 
 
 def centroid(df: DataFrame, key: str, vector: str, n_dims: str = "pos") -> DataFrame:

@@ -83,9 +83,25 @@ def weighted_topk(queries: DataFrame, rows: DataFrame, k: int, weight: float, bl
     return ranked.select("query_id", "rank", "id", "score", "sim")
 
 
-def pairs_in_blocks(queries: DataFrame, rows: DataFrame, key: str, block: int = 256) -> DataFrame:
-    """Every query beside every row: an equi-join on query blocks of bounded size."""
-    n = -(-queries.count() // block) or 1
-    spread = rows.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = queries.withColumn("query_block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
-    return spread.join(dealt, "query_block").drop("query_block")
+def all_similarities(queries: DataFrame, rows: DataFrame, block: int = 1_024) -> DataFrame:
+    """(query_id, id, sim): the cosine of every one of ``queries`` (query_id, vector) with every one of ``rows`` (id, vector).
+
+    For scorers that are to give every candidate of a stated query set. Both sides
+    are dealt out in blocks of bounded size, and a pair of blocks is one matrix product.
+    Null vectors are left out; a zero one has similarity 0.
+    """
+    n_q, n_r = (-(-df.count() // block) or 1 for df in (queries, rows))
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    q = _dealt(queries.where("vector IS NOT NULL").select(F.col("query_id").cast("bigint").alias("key"), vector), "key", n_q)
+    r = _dealt(rows.where("vector IS NOT NULL").select(F.col("id").cast("bigint").alias("key"), vector), "key", n_r)
+    q = q.select("key", "vector", F.lit(True).alias("asks"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).alias("j"))
+    r = r.select("key", "vector", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("i"), F.col("block").alias("j"))
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "id": [], "sim": []})
+        sims = _unit(a["vector"]) @ _unit(b["vector"]).T
+        return pd.DataFrame({"query_id": np.repeat(a["key"].to_numpy(), len(b)), "id": np.tile(b["key"].to_numpy(), len(a)), "sim": sims.ravel()})
+
+    return q.unionByName(r).groupBy("i", "j").applyInPandas(product, "query_id bigint, id bigint, sim double")

@@ -117,8 +117,8 @@ def catalogue_status(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers as manifest, shipped lines as files, parts shipped as ingested chunks."""
     manifest = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("title"))
     lines = _t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("doc_id")).agg(F.count("*").alias("chunk_count"))
-    joined = manifest.join(lines, "doc_id", "left")
-    return joined.select("doc_id", "title", F.col("chunk_count").isNotNull().alias("ingested"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+    told = lookup.catalogue_status(manifest, manifest.select("doc_id"), lines)
+    return told.select("doc_id", "title", (F.col("state") == "ingested").alias("ingested"), "chunk_count")
 
 
 # -- chunking and extraction -----------------------------------------------------------------------
@@ -235,11 +235,13 @@ def near_dup_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def rec_score(spark: SparkSession, d: str) -> DataFrame:
     """Every document for every benchmark item: similarity, BM25 evidence and recency."""
-    q = _embedded(_items(spark, d), "query_id").withColumnRenamed("embedding", "asked")
-    dates = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("published_on"))
-    r = _embedded(_docs(spark, d), "id").join(dates, "id", "left").join(_docs(spark, d).select("id", F.size(chunking.window_starts(F.size(tx.split_words(F.col("text"))), 800, 120)).alias("chunk_count")), "id")
-    pairs = dense.pairs_in_blocks(q, r, "query_id")
-    candidates = pairs.select("query_id", F.col("id").alias("doc_id"), vx.cosine(F.col("asked"), F.col("embedding")).alias("doc_sim"), F.coalesce("published_on", F.lit("1990-01-01").cast("timestamp")).alias("published_on"), "chunk_count")
+    q = _embedded(_items(spark, d), "query_id").withColumnRenamed("embedding", "vector")
+    dates = _t(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").cast("timestamp").alias("published_on"))
+    r = _embedded(_docs(spark, d), "id").withColumnRenamed("embedding", "vector")
+    chunks = F.size(chunking.window_starts(F.size(tx.split_words(F.col("text"))), 800, 120)).alias("chunk_count")
+    about = _docs(spark, d).select(F.col("id").alias("doc_id"), chunks).join(dates, "doc_id", "left").withColumn("published_on", F.coalesce("published_on", F.lit("1990-01-01").cast("timestamp")))
+    sims = dense.all_similarities(q, r).select("query_id", F.col("id").alias("doc_id"), F.col("sim").alias("doc_sim"))
+    candidates = sims.join(Scratch(spark, "about").save(about, "about"), "doc_id")
     scored = recommend.score(candidates, _bm25(spark, d, 10).withColumnRenamed("id", "doc_id"), F.lit(AS_OF).cast("timestamp"))
     return scored.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score", "doc_sim", "chunk_aggregate", "recency", F.col("chunk_hits").cast("bigint").alias("chunk_hits"))
 
@@ -299,10 +301,10 @@ def session_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def affinity(spark: SparkSession, d: str) -> DataFrame:
     """Every session's recent queries against every benchmark item."""
-    recent = sessions.recent_queries(_turns(spark, d)).withColumnRenamed("embedding", "asked")
-    items = _embedded(_items(spark, d), "query_id")
-    pairs = dense.pairs_in_blocks(items, recent, "query_id")
-    sims = pairs.select("session_id", F.col("query_id").alias("doc_id"), F.lit("query").alias("kind"), vx.cosine(F.col("asked"), F.col("embedding")).alias("sim"))
+    # a recent query's number names its session again
+    recent = sessions.recent_queries(_turns(spark, d)).select((F.col("session_id") * 64 + F.col("recency")).alias("id"), F.col("embedding").alias("vector"))
+    items = _embedded(_items(spark, d), "query_id").withColumnRenamed("embedding", "vector")
+    sims = dense.all_similarities(items, recent).select(F.floor(F.col("id") / 64).alias("session_id"), F.col("query_id").alias("doc_id"), F.lit("query").alias("kind"), "sim")
     return recommend.affinity(sims)
 
 
