@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_SPAN = 5
@@ -24,24 +24,49 @@ def in_page_order(pages: DataFrame) -> DataFrame:
     return pages.withColumn("place", F.row_number().over(Window.partitionBy("doc").orderBy("page", "chunk_id")))
 
 
-def resolve(requests: DataFrame, catalogue: DataFrame, listed: int = 100, most: int = 10_000) -> DataFrame:
+def _runs(text: Column, size: Column) -> Column:
+    """Runs of ``size`` characters; none of a shorter text."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.when(F.length(text) >= size, F.transform(starts, lambda i: F.substring(text, i, size))).otherwise(F.array().cast("array<string>"))
+
+
+def _grams(text: Column) -> Column:
+    """Distinct runs of one, two and three characters."""
+    return F.array_distinct(F.concat(*[_runs(text, F.lit(k)) for k in (1, 2, 3)]))
+
+
+def _containing(asked: DataFrame, titles: DataFrame) -> DataFrame:
+    """(request, doc_id) where a title (doc_id, t) contains the request (request, r).
+
+    Such a title has all runs of three characters of the request (all of it if it is
+    shorter), so the two meet on the one that the fewest titles have.
+    """
+    grams = titles.select("doc_id", "t", F.explode(_grams(F.col("t"))).alias("gram"))
+    own = F.array_distinct(_runs(F.col("r"), F.least(F.lit(3), F.length("r"))))
+    wanted = asked.select("request", "r", F.explode(own).alias("gram"))
+    df = grams.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    rarest = wanted.join(df, "gram", "left").groupBy("request", "r").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("least"))
+    chosen = rarest.where("least.df > 0").select("request", "r", F.col("least.gram").alias("gram"))
+    return chosen.join(grams, "gram").where(F.contains("t", F.col("r"))).select("request", "doc_id").distinct()
+
+
+def resolve(requests: DataFrame, catalogue: DataFrame, listed: int | None = None) -> DataFrame:
     """(request, status, doc_id, ambiguous) for ``requests`` (request) against ``catalogue`` (doc_id, title).
 
     An id or title that equals the request (ignoring case) comes first, else the
     one title that contains it; several are ambiguous. Blank requests match nothing.
-    Equality is an equi-join. Requests left over are counted before they go to every
-    catalogue part for the contains test, as at most ``most`` may; of an ambiguous
-    request's matches the ``listed`` smallest are named.
+    Equality is an equi-join, and so is containing, on runs of three characters. All
+    matches of an ambiguous request are named, or the ``listed`` smallest.
     """
     asked = requests.select("request", F.lower(F.trim("request")).alias("r")).where("r <> ''").distinct()
     title, key = F.lower("title"), F.lower(F.col("doc_id").cast("string"))
     named = catalogue.select("doc_id", key.alias("r")).unionByName(catalogue.select("doc_id", title.alias("r")))
     exact = asked.join(named, "r").groupBy("request").agg(F.min("doc_id").alias("exact_id"))
     rest = asked.join(exact, "request", "left_anti")
-    if rest.count() > most:
-        raise ValueError(f"more than {most} requests name no id or title")
-    met = F.broadcast(rest).join(catalogue, F.contains(title, F.col("r"))).select("request", "doc_id").distinct()
-    few = met.withColumn("nth", F.row_number().over(Window.partitionBy("request").orderBy("doc_id"))).where(F.col("nth") <= listed)
+    met = _containing(rest, catalogue.select("doc_id", title.alias("t")))
+    few = met
+    if listed is not None:
+        few = met.withColumn("nth", F.row_number().over(Window.partitionBy("request").orderBy("doc_id"))).where(F.col("nth") <= listed)
     found = met.groupBy("request").agg(F.count("*").alias("n"), F.min("doc_id").alias("one"))
     found = found.join(few.groupBy("request").agg(F.sort_array(F.collect_list("doc_id")).alias("all")), "request")
     out = requests.join(exact, "request", "left").join(found, "request", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from lectern.functions import text as tx
 from lectern.operators import guards, ingestion, lookup, metrics, tools
 from lectern.plans.scratch import Scratch
 from lectern.sources import prompts
+from lectern.streaming import sessions as streams
 
 
 def angle(degrees):
@@ -136,6 +138,38 @@ def test_upsert_ties_and_requests(spark):
     assert {x.request: (x.status, x.doc_id, x.ambiguous) for x in r.collect()} == {"title": ("ambiguous", None, "0,1,2"), "TITLE 7": ("match", 7, None), "7": ("match", 7, None)}
 
 
+def test_contained_requests_meet_on_their_rarest_run(spark):
+    rng = random.Random(7)
+    titles = ["".join(rng.choices("abC d", k=rng.randint(0, 9))) for _ in range(150)] + [None]
+    asked = sorted({"".join(rng.choices("abcD ", k=rng.randint(0, 4))) for _ in range(60)} | {"a", "zzz"})
+    docs = spark.createDataFrame(list(enumerate(titles, 1_000_000)), "doc_id long, title string")
+    for r in lookup.resolve(spark.createDataFrame([(a,) for a in asked], "request string"), docs).collect():
+        want = r.request.strip(" ").lower()
+        same = [i for i, t in enumerate(titles, 1_000_000) if t is not None and want and t.lower() == want]
+        inside = [i for i, t in enumerate(titles, 1_000_000) if t is not None and want and want in t.lower()]
+        one = same[0] if same else inside[0] if len(inside) == 1 else None
+        many = ",".join(map(str, inside)) if one is None and inside else None
+        assert (r.status, r.doc_id, r.ambiguous) == ("match" if one else "ambiguous" if many else "none", one, many)
+
+
+def test_session_state_over_batches(spark, tmp_path):
+    """The keyed state after several batches equals the rule over all turns."""
+    rng = random.Random(3)
+    turns = [(s, t, [rng.uniform(-1, 1) for _ in range(3)], rng.sample(range(9), 2) if t % 3 else None) for s in (1, 2, 3) for t in range(rng.randint(3, 9))]
+    schema = "session_id long, turn long, embedding array<double>, shown array<long>"
+    for part in range(3):
+        spark.createDataFrame([r for r in turns if r[1] // 3 == part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rows = []
+    query = streams.session_state(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ck"))
+    query.foreachBatch(lambda df, _: rows.extend(df.collect())).trigger(availableNow=True).start().awaitTermination()
+    last = {r.session_id: r for r in sorted(rows, key=lambda r: r.turns)}
+    for s in (1, 2, 3):
+        profile, recent, seen, n = streams.update(None, [(t, v, shown or []) for x, t, v, shown in turns if x == s])
+        r = last[s]
+        assert (r.turns, r.n_recent, r.n_surfaced) == (n, len(recent), len(seen)) and r.profile == pytest.approx(profile)
+
+
 def test_budget_and_panel(spark):
     words = F.array(*[F.lit(w) for w in ("aa", "bbb", "cccc", "d")])
     assert [one(spark, tx.budget_words(words, n, F.length)) for n in (0, 2, 5, 9, 10)] == [0, 1, 2, 3, 4]
