@@ -26,9 +26,9 @@ class Retriever(Protocol):
 
 
 class Judge(Protocol):
-    """Answers with their passages -> (case_id, supported, total)."""
+    """Prompts -> replies, one each; a :class:`lectern.operators.services.Service` sends them in batches."""
 
-    def __call__(self, answers: DataFrame) -> DataFrame: ...
+    def __call__(self, texts: list[str]) -> list[str]: ...
 
 
 def choose(kind: str, name: str, known: dict[str, object]) -> object:

@@ -57,14 +57,19 @@ def passthrough(ranked: DataFrame, k: int) -> DataFrame:
 def hybrid(
     dense: DataFrame, lexical: DataFrame, queries: DataFrame, rows: DataFrame, shortlist: int = 10, k: int = 6, per_doc: int = 4, grader: Grader = term_coverage
 ) -> DataFrame:
-    """Fuses two ranked lists, grades the shortlist and caps it by document.
+    """:func:`hybrid_of` of two ranked lists (query_id, rank, id)."""
+    columns = ["query_id", "rank", "id"]
+    lists = dense.select(*columns, F.lit(0).alias("list_no")).unionByName(lexical.select(*columns, F.lit(1).alias("list_no")))
+    return hybrid_of(lists, queries, rows, shortlist, k, per_doc, grader)
+
+
+def hybrid_of(lists: DataFrame, queries: DataFrame, rows: DataFrame, shortlist: int = 10, k: int = 6, per_doc: int = 4, grader: Grader = term_coverage) -> DataFrame:
+    """Fuses ranked lists (query_id, list_no, rank, id), grades the shortlist and caps it by document.
 
     ``rows``: (id, doc, text); ``queries``: (query_id, text), with ``scope`` where
     some are restricted to one document, which the cap then leaves alone. The grader
     sees the shortlist only.
     """
-    columns = ["query_id", "rank", "id"]
-    lists = dense.select(*columns, F.lit(0).alias("list_no")).unionByName(lexical.select(*columns, F.lit(1).alias("list_no")))
     fused = rrf(lists).where(F.col("rank") <= shortlist)
     seen = fused.join(rows.withColumnRenamed("text", "passage"), "id").join(queries.withColumnRenamed("text", "question"), "query_id")
     about = ["doc", "scope"] if "scope" in queries.columns else ["doc"]

@@ -229,6 +229,14 @@ SELECT query_id, pick, doc_id, reason FROM told""",
         "bm25_indexed_filtered": _FILTERED,
         "bm25_index_work": f"WITH {_bm25(20)} SELECT query_id, count(*) AS matched, true AS bounded FROM q JOIN post USING (term) GROUP BY query_id",
         "hybrid_topk_filtered": f"WITH {_bm25(20)}, {_VECTORS}, {_search(True, 6)} SELECT query_id, place, id, round(grade, 4) AS grade FROM placed",
+        "service_embeddings": f"""
+WITH t AS (SELECT 'item' AS kind, item_id AS id, 0::BIGINT AS turn, text FROM benchmark UNION ALL SELECT 'turn', conv_id, turn::BIGINT, text FROM conversations WHERE role = 'user'),
+k AS (SELECT row_number() OVER () AS k, * FROM t)
+SELECT kind, id, turn, b::BIGINT AS pos, n AS value FROM ({_sparse("k", "k", _terms("text"))}) JOIN k USING (k)""",
+        "plugged_hybrid": f"WITH {_bm25(20)}, {_VECTORS}, {_search(False, 6)} SELECT query_id, place, id, doc, round(grade, 4) AS grade FROM placed",
+        "service_judge": """
+SELECT conv_id * 1000 + turn AS case_id, CASE WHEN turn % 5 <> 4 AND turn % 7 <> 6 THEN (length('Passages:' || chr(10) || coalesce(role, '') || chr(10) || chr(10) || 'Answer:' || chr(10) || text) % 3) / 2.0::DOUBLE END AS value
+FROM conversations""",
         "hybrid_search": f"""{_PASSAGES}
 SELECT item_id AS query_id, md5(coalesce(passages, 'No passages found.')) AS answer_md5, CASE WHEN passages IS NULL THEN 'No passages found.' END AS none
 FROM benchmark LEFT JOIN told ON query_id = item_id""",

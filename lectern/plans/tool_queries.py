@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
-from lectern.operators import chunking, dense, fusion, lexical, lexical_index, lists, recommend, sessions, tools
+from lectern.functions import vectors as vx
+from lectern.operators import chunking, dense, fusion, lexical, lexical_index, lists, recommend, services, sessions, tools
 from lectern.plans import queries as base
 from lectern.plans.scratch import Scratch
 from lectern.sources import prompts
+from lectern.sources.store import Store
 
 
 def _group(key: str) -> Column:
@@ -193,9 +195,61 @@ def duplicate_resolver(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "suppressed")
 
 
+def _token_counts(texts: list[str]) -> list[list[float]]:
+    """Stands for an embedding service: counts of the hashed tokens."""
+    out = []
+    for t in texts:
+        row = [0.0] * 64
+        for token in t.split(" ") if t else ():
+            row[vx.bucket_of(token, 64)] += 1
+        out.append(row)
+    return out
+
+
+def service_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all items and user turns from a service, whose answers to the items were stored before."""
+    store = Store(spark, f"{Scratch(spark, 'service').path}/store")
+    embed = services.ServiceEmbedder(services.Service("counts", _token_counts, "array<double>"), store)
+    terms = tx.search_terms(F.col("text")).alias("terms")
+    items = base._t(spark, d, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), F.lit(0).cast("bigint").alias("turn"), terms)
+    asked = base._t(spark, d, "conversations").where("role = 'user'").select(F.lit("turn").alias("kind"), F.col("conv_id").alias("id"), F.col("turn").cast("bigint").alias("turn"), terms)
+    embed(items, ["kind", "id", "turn"], "terms")
+    made = embed(items.unionByName(asked), ["kind", "id", "turn"], "terms")
+    return made.select("kind", "id", "turn", F.posexplode("embedding").alias("pos", "value")).where("value > 0").withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def _by_vectors(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    q, r = (base._embedded(x, c).select(c, F.col("embedding").alias("vector"), F.lit(None).alias("scope")) for x, c in ((queries, "query_id"), (rows, "id")))
+    return dense.dense_topk(q, r, k)
+
+
+def _by_words(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    return lexical.top(lexical.bm25(queries, rows), k)
+
+
+def plugged_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid retrieval of all items by retrievers that are passed in."""
+    found = services.retrieve(base._items(spark, d), base._docs(spark, d), [_by_vectors, _by_words])
+    return found.select("query_id", F.col("place").cast("bigint").alias("place"), "id", "doc", F.round("grade", 4).alias("grade"))
+
+
+def _lenient(texts: list[str]) -> list[str]:
+    """Stands for a judge: supports as many of two claims as the prompt's length modulo three."""
+    return [f'```json\n{{"supported": {len(t) % 3}, "total": 2}}\n```' for t in texts]
+
+
+def service_judge(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn as an answer, each fifth one unanswerable and each seventh one declined, judged by a service."""
+    c = base._t(spark, d, "conversations")
+    answer = F.when(F.col("turn") % 7 == 6, F.lit(tools.NO_CONTEXT)).otherwise(F.col("text"))
+    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), (F.col("turn") % 5 != 4).alias("is_answerable"), answer.alias("answer"), F.col("role").alias("passages"))
+    return services.judged_faithfulness(rows, services.Service("judge", _lenient, batch=100))
+
+
 def queries() -> dict[str, base.Query]:
     found = (
         more_like_this, recommend_for_query, recommend_for_user, sidebar_recommend, duplicate_resolver,
         bm25_topk_filtered, bm25_indexed, bm25_indexed_filtered, bm25_index_work, hybrid_topk_filtered, hybrid_search, answer_question,
+        service_embeddings, plugged_hybrid, service_judge,
     )
     return {q.__name__: q for q in found}
