@@ -96,6 +96,22 @@ def catalogue_status(manifest: DataFrame, files: DataFrame, ingested: DataFrame)
     return joined.select("doc_id", "title", state.alias("state"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
 
 
+def corpus_status(manifest: DataFrame, files: DataFrame, ingested: DataFrame) -> DataFrame:
+    """(doc_id, title, cluster, present, n_bytes, has_scan, ingested, chunk_count): one row a manifest entry.
+
+    ``files``: (name, size); a document's own file is ``{id}.pdf``, its scanned copy
+    ``{id}-scanned.pdf``, ignoring case. ``ingested``: (doc_id, chunk_count).
+    """
+    sized = files.groupBy(F.lower("name").alias("name")).agg(F.max("size").alias("size"))
+    own = manifest.withColumn("name", F.lower(F.concat("doc_id", F.lit(".pdf")))).withColumn("scan", F.lower(F.concat("doc_id", F.lit("-scanned.pdf"))))
+    joined = own.join(sized, "name", "left").join(sized.select(F.col("name").alias("scan"), F.lit(True).alias("scanned")), "scan", "left").join(ingested, "doc_id", "left")
+    zero = F.lit(0)
+    return joined.select(
+        "doc_id", "title", "cluster", F.col("size").isNotNull().alias("present"), F.coalesce("size", zero).cast("bigint").alias("n_bytes"), F.coalesce("scanned", F.lit(False)).alias("has_scan"),
+        F.col("chunk_count").isNotNull().alias("ingested"), F.coalesce("chunk_count", zero).cast("bigint").alias("chunk_count"),
+    )
+
+
 def cache_misses(texts: DataFrame, cached: DataFrame, model: str) -> DataFrame:
     """Distinct (key, text) whose key is not cached: sha256 of the model, a newline and the text."""
     key = F.sha2(F.concat(F.lit(model + "\n"), F.col("text")), 256)

@@ -155,6 +155,11 @@ SELECT conv_id AS doc, turn AS page, CASE WHEN (turn % 2 = 0 AND length(regexp_r
 WITH f AS (SELECT DISTINCT p_partkey AS k FROM part WHERE p_partkey % 2 = 0), i AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY 1)
 SELECT s_suppkey AS doc_id, s_name AS title, CASE WHEN n IS NOT NULL THEN 'ingested' WHEN f.k IS NOT NULL THEN 'downloaded' ELSE 'missing' END AS state, coalesce(n, 0) AS chunk_count
 FROM supplier LEFT JOIN f ON f.k = s_suppkey LEFT JOIN i ON i.k = s_suppkey""",
+        "corpus_status": """
+WITH i AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY 1)
+SELECT 'S' || s_suppkey AS doc_id, s_name AS title, s_nationkey::VARCHAR AS cluster, p.p_partkey IS NOT NULL AS present, coalesce(p.p_size, 0)::BIGINT AS n_bytes, z.p_partkey IS NOT NULL AS has_scan,
+  n IS NOT NULL AS ingested, coalesce(n, 0) AS chunk_count
+FROM supplier LEFT JOIN part p ON p.p_partkey = s_suppkey AND p.p_partkey % 2 = 0 LEFT JOIN part z ON z.p_partkey = s_suppkey AND z.p_partkey % 7 = 0 LEFT JOIN i ON i.k = s_suppkey""",
         "unseen": """
 SELECT session_id, doc_id FROM (SELECT DISTINCT user_id AS session_id FROM events), (SELECT unnest(range(20)) AS doc_id)
 WHERE (session_id, doc_id) NOT IN (SELECT (user_id, event_id % 10) FROM events)""",

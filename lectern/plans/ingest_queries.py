@@ -276,6 +276,17 @@ def catalogue_files(spark: SparkSession, d: str) -> DataFrame:
     return lookup.catalogue_status(manifest, there, done)
 
 
+def corpus_status(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as manifest, even parts as files by their size, each seventh one as a scanned copy too."""
+    key = F.concat(F.lit("S"), _text("s_suppkey"))
+    manifest = base._t(spark, d, "supplier").select(key.alias("doc_id"), F.col("s_name").alias("title"), _text("s_nationkey").alias("cluster"))
+    part = base._t(spark, d, "part").select("p_partkey", F.col("p_size").alias("size"))
+    own = part.where("p_partkey % 2 = 0").select(F.concat(F.lit("s"), _text("p_partkey"), F.lit(".PDF")).alias("name"), "size")
+    scans = part.where("p_partkey % 7 = 0").select(F.concat(F.lit("s"), _text("p_partkey"), F.lit("-scanned.pdf")).alias("name"), "size")
+    done = base._t(spark, d, "lineitem").where("l_suppkey % 3 = 0").groupBy(F.concat(F.lit("S"), _text("l_suppkey")).alias("doc_id")).agg(F.count("*").alias("chunk_count"))
+    return lookup.corpus_status(manifest, own.unionByName(scans), done)
+
+
 # -- sessions, hits, citations -----------------------------------------------------------------------
 def _shown(spark: SparkSession, d: str) -> DataFrame:
     return base._t(spark, d, "events").select(F.col("user_id").alias("session_id"), (F.col("event_id") % 10).alias("doc_id"))
@@ -381,7 +392,7 @@ def queries() -> dict[str, base.Query]:
     found = (
         manifest_scan, document_enumeration, fetch_status, layout_paragraphs, layout_tables, gold_questions, gold_recommendations, telemetry_since, result_file, session_state,
         summary_cache, lineage_union, incremental_lineage, ingest_run, lineage_listing, sanity_cosines, chunks_with_tables, chunk_variable, ingestion_counters, section_spans, section_windows, layout_blocks, token_prefix, ocr_pages,
-        scan_pairs, recommendable, document_pages, catalogue_files, unseen, surfaced_sets, turn_context, chunk_hits, hits_by_document, ranked_documents, passthrough_topk, affinity_rank,
+        scan_pairs, recommendable, document_pages, catalogue_files, corpus_status, unseen, surfaced_sets, turn_context, chunk_hits, hits_by_document, ranked_documents, passthrough_topk, affinity_rank,
         profile_affinity, citation_violations, citation_panel, summary_replies, grade_replies,
     )
     return {q.__name__: q for q in found}
