@@ -22,8 +22,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """Scan of a table. Texts that lie in fewer splits than there are cores are dealt out, as one task would do all the work on them."""
     workers_import_package(spark)
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    found, cores = spark.read.parquet(f"{d}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages") and found._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        return found.repartition(cores)
+    return found
 
 
 # -- dense and lexical retrieval ---------------------------------------------------------------
