@@ -75,12 +75,12 @@ def catalogue(spark, rows):
     return docs.drop("text").join(vectors, "doc_id")
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_batches_equal_grouping_all_at_once(spark, seed):
     rng, scratch = random.Random(seed), Scratch(spark, "t")
     rows = {r[0]: r for r in editions(rng, 60)}
     state, held = dict.fromkeys(lineage_state.TABLES), {}
-    for step in range(4):
+    for step in range(3):
         batch = {i: rows[i] for i in rng.sample(sorted(rows), 25)}
         if step:  # some come under another document's title and text, some go
             batch |= {i: (i, *rows[(i + 1) % 60][1:]) for i in rng.sample(sorted(held), 4)}
