@@ -3,8 +3,12 @@
 Once a process, every vocabulary string is put through the pre-tokenizer and the
 merges: the strings that are one pre-token and end as one id form the proven
 table. A pre-token in that table counts one without being merged; only the rest
-is merged, with a bounded cache. A null text has no bytes and no tokens; special
-strings count as their one special id.
+is merged, with a bounded cache.
+
+Cases: a null text has no bytes and no tokens, like an empty one; special strings
+count as their one special id; a text of any length is counted whole; a text of just
+the limit is not over it; rows that repeat, share an id or have none are counted each;
+an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

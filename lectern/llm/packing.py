@@ -8,6 +8,12 @@ removed as often as the histogram allows. Pieces then find their place by their
 rank among the pieces of their length: the rank is a count within the task that
 made the piece plus the counts of the tasks before it, so no task ever holds all
 pieces of one length.
+
+Cases: null and empty texts give one piece, the closing id; a null id is packed like
+any other; rows that repeat or share an id are packed each; a text of any length is
+cut into pieces and read whole; pieces of one length are placed in the order of the
+input; an empty table gives an empty result; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -147,6 +147,24 @@ def test_packing_places_every_id(spark, library):
         assert at <= 64
 
 
+def test_packing_and_counts_of_nulls_and_repeated_ids(spark, library):
+    """Each row is packed and counted by itself; clashing names of other columns change nothing."""
+    rows = [(1, "ab ab"), (1, "ab ab"), (1, "other text"), (None, None), (None, "x"), (2, ""), (3, "word " * 700)]
+    df = spark.createDataFrame([(*r, "9", 7) for r in rows], "doc_id long, text string, length string, sequence_id int")
+    got = pack_documents(df, PATH, Scratch(spark, "t"), capacity=100).collect()
+    want = []
+    for i, t in rows:
+        ids = np.array([*ids_of(library, t), 2], "<u4")
+        first = len(ids) % 100 or 100
+        cuts = [0, *range(first, len(ids), 100), len(ids)] if len(ids) > 100 else [0, len(ids)]
+        want += [(str(i), k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+    assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    places = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    assert all(a[0] != b[0] and b[1] == 0 or a[0] == b[0] and a[1] + a[2] == b[1] for a, b in zip(places[:-1], places[1:], strict=True))
+    counted = sorted((str(r.doc_id), r.n_tokens) for r in token_counts(df, PATH).collect())
+    assert counted == sorted((str(i), len(ids_of(library, t))) for i, t in rows)
+
+
 def test_cache_is_bounded_by_bytes():
     """Words that never come again and are long do not stay."""
     encoder = Encoder(vocabulary(PATH), cache_bytes=400_000)
