@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,3 +264,15 @@ def test_streaming_windows_equal_batch(spark, sf_dir, tmp_path):
     want = {(r.start, r.event_type): r.n for r in streams.event_counts(events).collect()}
     assert {(r.start, r.event_type): r.n for r in spark.table("counts").collect()} == want
     assert streams.event_sessions(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_cosines_of_counts_are_exact_and_round_as_databases_do(spark):
+    """A product over the product of lengths; unit vectors give some of these a last bit less or more."""
+    counts = np.random.default_rng(3).integers(0, 9, (200, 64)).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(counts)], "id long, vector array<double>")
+    length = np.sqrt((counts * counts).sum(axis=1))
+    want = {(a, b): (counts[a] @ counts[b]) / (length[a] * length[b]) for a in range(20) for b in range(200)}
+    found = dense.all_similarities(rows.where("id < 20").withColumnRenamed("id", "query_id"), rows)
+    assert {(r.query_id, r.id): r.sim for r in found.collect()} == want
+    halves = spark.createDataFrame([(0.0078125,), (-0.0078125,), (0.53906249999999994,), (0.0,)], "x double").select(recommend.rounded(F.col("x")))
+    assert [r[0] for r in halves.collect()] == [0.007813, -0.007813, 0.539062, 0.0]
