@@ -276,3 +276,47 @@ def test_cosines_of_counts_are_exact_and_round_as_databases_do(spark):
     assert {(r.query_id, r.id): r.sim for r in found.collect()} == want
     halves = spark.createDataFrame([(0.0078125,), (-0.0078125,), (0.53906249999999994,), (0.0,)], "x double").select(recommend.rounded(F.col("x")))
     assert [r[0] for r in halves.collect()] == [0.007813, -0.007813, 0.539062, 0.0]
+
+
+def test_editions_of_large_works_are_joined_in_blocks(spark):
+    """Two works of 60 editions and lone ones, dates spread, against all pairs; as many edges as documents at most a token."""
+    rng, rows = np.random.default_rng(5), []
+    for i in range(160):
+        work = i % 2 if i < 120 else i
+        words = [f"w{work}n{n}" for n in range(6)] + ([f"x{i}"] if i % 3 == 0 else [])
+        vector = [float(work), 3.0, 1.0 + 2 * (i % 5 == 0), float(rng.integers(0, 2))] if i % 17 else [1.0, 0.0]
+        rows.append((i, " ".join(words), None if i % 29 == 7 else "c", None if i % 31 == 3 else f"19{rng.integers(80, 99)}-0{1 + i % 9}-01", vector))
+    docs = spark.createDataFrame(rows, "doc_id long, title string, cluster string, published_on string, embedding array<double>")
+    scratch = Scratch(spark, "t")
+    titled = scratch.save(lineage.titles(docs), "titles")
+    held = {r.doc_id: r for r in titled.collect()}
+
+    def linked(x, y):
+        if x.cluster is None or x.cluster != y.cluster or x.at is None or y.at is None or abs(x.at - y.at) > lineage.GAP_DAYS * lineage.MICROS_A_DAY or len(x.embedding) != len(y.embedding):
+            return False
+        common, (v, w) = len({*x.tokens} & {*y.tokens}), (np.array(x.embedding), np.array(y.embedding))
+        return common / len({*x.tokens, *y.tokens}) >= lineage.MIN_JACCARD and (v @ w) / math.sqrt(v @ v) / math.sqrt(w @ w) > lineage.MIN_COSINE
+
+    root = {i: i for i in held}
+    for a in held:
+        for b in held:
+            if a < b and linked(held[a], held[b]):
+                lo, hi = sorted((root[a], root[b]))
+                root = {i: lo if r == hi else r for i, r in root.items()}
+    alone = {r for r in root.values() if sum(x == r for x in root.values()) == 1}
+    want = {i: r for i, r in root.items() if r not in alone}
+    prefix = lineage.prefixes(titled, lineage.token_order(titled)).withColumn("fresh", F.lit(True))
+    for block in (7, 4_096):
+        edges = scratch.save(lineage.joined(prefix, titled, scratch, block=block), "edges")
+        found = lineage.connected_components(edges, scratch)
+        assert {r.id: r.component for r in found.collect()} == want and len(want) > 60
+    assert edges.count() <= prefix.count()
+    # with one fresh half, the links of that half only
+    half = scratch.save(lineage.joined(prefix.withColumn("fresh", F.col("doc_id") < 60), titled, scratch, block=7), "half")
+    root = {i: i for i in held}
+    for a in range(60):
+        for b in held:
+            if a != b and linked(held[a], held[b]):
+                lo, hi = sorted((root[a], root[b]))
+                root = {i: lo if r == hi else r for i, r in root.items()}
+    assert {r.id: r.component for r in lineage.connected_components(half, scratch).collect()} == {i: r for i, r in root.items() if sum(x == r for x in root.values()) > 1}
