@@ -1,81 +1,53 @@
-"""Lineage kept up batch by batch: new rows meet stored prefix tokens, new links join stored groups.
+"""Lineage kept up batch by batch: new rows meet stored prefix tokens and join stored groups.
 
 State: ``titles`` (doc_id, cluster, at, tokens, embedding), ``prefixes`` (doc_id,
-cluster, token, n), ``order`` (cluster, token, df), ``links`` (a, b) and ``groups``
-(doc_id, lineage_group). A title's prefix is taken in one fixed order of tokens,
-rarest first as of the first batch and unseen ones before all; any fixed order finds
-every link, so the order is not made anew.
-
-A batch costs what it touches: its rows meet the stored prefixes of their own
-tokens, and only groups that lose a document or get a link are joined anew, from
-their links. The result equals grouping all documents at once.
+cluster, token), ``order`` (cluster, token, df) and ``groups`` (doc_id,
+lineage_group). A title's prefix is taken in one fixed order of tokens, rarest first
+as of the first batch and unseen ones before all; any fixed order finds every link,
+so the order is not made anew.
+
+Links are not kept, as a work of n editions has up to n * n / 2. A batch costs what
+it touches: its rows, and those left of groups that lose a document, meet the stored
+prefixes of their own tokens; other groups join by their own number. The result
+equals grouping all documents at once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import jaccard, title_tokens
-from lectern.functions.vectors import cosine
-from lectern.operators.lineage import GAP_DAYS, MICROS_A_DAY, MIN_COSINE, MIN_JACCARD
+from lectern.operators.lineage import joined, prefixes, titles, token_order
 from lectern.plans.components import connected_components
 from lectern.plans.scratch import Scratch
 
-TABLES = ("titles", "prefixes", "order", "links", "groups")
-
-
-def _titles(docs: DataFrame) -> DataFrame:
-    at = F.unix_micros(F.col("published_on").cast("timestamp")).alias("at")
-    return docs.select("doc_id", "cluster", at, title_tokens(F.col("title")).alias("tokens"), F.col("embedding").cast("array<double>").alias("embedding"))
-
-
-def _prefixes(titles: DataFrame, order: DataFrame) -> DataFrame:
-    tokens = titles.select("doc_id", "cluster", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    placed = tokens.join(order, ["cluster", "token"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "token"))
-    kept = placed.withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(MIN_JACCARD * F.col("n") - 1e-9) + 1)
-    return kept.select("doc_id", "cluster", "token", "n")
-
-
-def _sizes_fit(x: Column, y: Column) -> Column:
-    return (x >= MIN_JACCARD * y - 1e-9) & (y >= MIN_JACCARD * x - 1e-9)
+TABLES = ("titles", "prefixes", "order", "groups")
 
 
-def new_links(fresh: DataFrame, prefixes: DataFrame, every_prefix: DataFrame, titles: DataFrame) -> DataFrame:
-    """(a, b), a < b, of links with at least one end in ``fresh`` (titles of the batch)."""
-    mine = prefixes.select(F.col("doc_id").alias("x"), "cluster", "token", F.col("n").alias("nx"))
-    theirs = every_prefix.select(F.col("doc_id").alias("y"), "cluster", "token", F.col("n").alias("ny"))
-    pairs = mine.join(theirs, ["cluster", "token"]).where((F.col("x") != F.col("y")) & _sizes_fit(F.col("nx"), F.col("ny")))
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "x", "y").dropDuplicates(["a", "b"])
-    side = lambda df, k: df.select(F.col("doc_id").alias(k), F.col("at").alias(f"at{k}"), F.col("tokens").alias(f"t{k}"), F.col("embedding").alias(f"v{k}"))
-    met = pairs.join(side(fresh, "x"), "x").join(side(titles, "y"), "y")
-    near = (F.abs(F.col("atx") - F.col("aty")) <= GAP_DAYS * MICROS_A_DAY) & (jaccard(F.col("tx"), F.col("ty")) >= MIN_JACCARD)
-    return met.where(near).where(cosine(F.col("vx"), F.col("vy")) > MIN_COSINE).select("a", "b")
+def _grouped(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    return connected_components(edges, scratch).select(F.col("id").alias("doc_id"), F.col("component").alias("lineage_group"))
 
 
 def apply(old: dict[str, DataFrame | None], batch: DataFrame, touched: DataFrame, scratch: Scratch) -> dict[str, DataFrame]:
     """State after ``batch`` (doc_id, title, cluster, published_on, embedding) replaces the documents ``touched`` (doc_id)."""
-    fresh = scratch.save(_titles(batch), "fresh")
+    fresh = scratch.save(titles(batch), "fresh")
     if old["titles"] is None:
-        tokens = fresh.select("cluster", F.explode("tokens").alias("token"))
-        order = scratch.save(tokens.groupBy("cluster", "token").agg(F.count("*").alias("df")), "order")
-        prefixes = scratch.save(_prefixes(fresh, order), "prefixes")
-        links = scratch.save(new_links(fresh, prefixes, prefixes, fresh), "links")
-        groups = connected_components(links, scratch).select(F.col("id").alias("doc_id"), F.col("component").alias("lineage_group"))
-        return {"titles": fresh, "prefixes": prefixes, "order": order, "links": links, "groups": groups}
-    titles = old["titles"].join(touched, "doc_id", "left_anti").unionByName(fresh)
-    mine = scratch.save(_prefixes(fresh, old["order"]), "mine")
-    kept = old["prefixes"].join(touched, "doc_id", "left_anti")
-    prefixes = kept.unionByName(mine)
-    added = scratch.save(new_links(fresh, mine, prefixes, titles), "added")
-    ends = added.select(F.col("a").alias("doc_id")).unionByName(added.select(F.col("b").alias("doc_id"))).unionByName(touched.select("doc_id"))
-    groups = old["groups"]
-    moved = scratch.save(groups.join(ends.distinct(), "doc_id", "left_semi").select("lineage_group").distinct(), "moved")
-    members = scratch.save(groups.join(moved, "lineage_group", "left_semi").select("doc_id"), "members")
-    left = old["links"].join(touched.select(F.col("doc_id").alias("a")), "a", "left_anti").join(touched.select(F.col("doc_id").alias("b")), "b", "left_anti").select("a", "b")
-    # both ends of a link are in one group, so one end tells whether it is in a moved one
-    again = left.join(members.select(F.col("doc_id").alias("a")), "a", "left_semi").unionByName(added)
-    found = connected_components(again, scratch).select(F.col("id").alias("doc_id"), F.col("component").alias("lineage_group"))
-    still = groups.join(moved, "lineage_group", "left_anti").select("doc_id", "lineage_group")
-    return {"titles": titles, "prefixes": prefixes, "links": left.unionByName(added), "groups": still.unionByName(found)}
+        order = scratch.save(token_order(fresh), "order")
+        prefix = scratch.save(prefixes(fresh, order), "prefixes")
+        found = _grouped(joined(prefix.withColumn("fresh", F.lit(True)), fresh, scratch), scratch)
+        return {"titles": fresh, "prefixes": prefix, "order": order, "groups": found}
+    every = scratch.save(old["titles"].join(touched, "doc_id", "left_anti").unionByName(fresh), "titles")
+    mine = prefixes(fresh, old["order"])
+    prefix = scratch.save(old["prefixes"].join(touched, "doc_id", "left_anti").unionByName(mine), "prefixes")
+    # what is left of a group that loses a document is joined anew from its titles
+    broken = old["groups"].join(touched, "doc_id", "left_semi").select("lineage_group").distinct()
+    whole = scratch.save(old["groups"].join(broken, "lineage_group", "left_anti").select("doc_id", "lineage_group"), "whole")
+    parted = old["groups"].join(broken, "lineage_group", "left_semi").select("doc_id").join(touched, "doc_id", "left_anti")
+    asking = scratch.save(fresh.select("doc_id").unionByName(parted).distinct(), "asking").withColumn("fresh", F.lit(True))
+    told = prefix.join(asking, "doc_id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+    added = scratch.save(joined(told, every, scratch), "added")
+    ends = added.select(F.col("a").alias("doc_id")).unionByName(added.select(F.col("b").alias("doc_id"))).distinct()
+    moved = scratch.save(whole.join(ends, "doc_id", "left_semi").select("lineage_group").distinct(), "moved")
+    own = whole.join(moved, "lineage_group", "left_semi").select(F.col("doc_id").alias("a"), F.col("lineage_group").alias("b"))
+    still = whole.join(moved, "lineage_group", "left_anti").select("doc_id", "lineage_group")
+    return {"titles": every, "prefixes": prefix, "groups": still.unionByName(_grouped(own.unionByName(added), scratch))}
