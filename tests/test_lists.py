@@ -135,3 +135,24 @@ def test_barred_rows_leave_before_the_top(spark):
 def test_bad_lambda(spark):
     with pytest.raises(ValueError):
         lists.pick(None, None, None, None, 5, 1.5)
+
+
+def test_a_large_k_makes_small_blocks_of_queries(spark, monkeypatch):
+    """Whatever K is, a pair of blocks gives a bounded number of rows, and the ranking is that of all rows."""
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 6, (150, 8)).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist(), None) for i, v in enumerate(counts)], "id long, vector array<double>, scope string")
+    asked = rows.where("id < 40").withColumnRenamed("id", "query_id")
+    monkeypatch.setattr(dense, "MOST_FOUND", 300)
+    monkeypatch.setattr(dense, "STRIP", 3)
+    sizes = []
+    dealt = dense._dealt
+    monkeypatch.setattr(dense, "_dealt", lambda df, key, n: sizes.append(n) or dealt(df, key, n))
+    got = {}
+    for r in dense.dense_topk(asked, rows, 100, block=60).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id, r.score))
+    assert sizes == [8, 3]
+    for q in range(40):
+        score = {i: np.floor(cosine(counts[q], counts[i]) * 1e6 + 0.5) / 1e6 for i in range(150)}
+        order = sorted(score, key=lambda i: (-score[i], i))[:100]
+        assert sorted(got[q]) == [(n + 1, i, score[i]) for n, i in enumerate(order)]
