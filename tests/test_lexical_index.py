@@ -56,3 +56,41 @@ def test_scopes_are_met_below_the_scores(spark):
     assert {(r.query_id, r.id): r.score for r in lexical.bm25(queries, rows).collect()} == want
     plan = lexical.bm25(queries.where(F.col("scope").isNotNull()), rows)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate [query_id") < plan.index("scope")
+
+
+def test_search_moves_k_rows_a_query_and_cell(spark):
+    """Every query meets every row, yet what is written on the way stays below one row a pair of query and row."""
+    scratch = Scratch(spark, "t")
+    rows = spark.createDataFrame([(i, f"d{i % 3}", f"aa bb cc x{i}") for i in range(1_500)], "id long, doc string, text string")
+    queries = spark.createDataFrame([(q, "aa bb cc") for q in range(20)], "query_id long, text string")
+    lexical_index.build(rows, 4).write(f"{scratch.path}/index")
+    search = Scratch(spark, "t")
+    found, work = lexical_index.search(lexical_index.LexicalIndex.read(spark, f"{scratch.path}/index"), queries, 5, search, 2)
+    assert found.count() == 100 and {r.matched for r in work.collect()} == {4_500}
+    written = sum(spark.read.parquet(f.getPath().toString()).count() for f in _tables(spark, search.path))
+    assert written < 500
+
+
+def _tables(spark, path):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+
+
+def test_ranked_is_the_top_of_bm25_in_any_cells(spark, monkeypatch):
+    rows = corpus(spark)
+    for scoped, cell, queries, sent in ((False, 50, 7, 200_000), (True, 100_000, 256, 0), (True, 300, 3, 200_000)):
+        for name, value in (("CELL", cell), ("QUERIES", queries), ("BROADCAST_TERMS", sent)):
+            monkeypatch.setattr(lexical, name, value)
+        want = lexical.top(lexical.bm25(asked(spark, scoped), rows), 7).collect()
+        assert sorted(lexical.ranked(asked(spark, scoped), rows, 7).collect()) == sorted(want) and len(want) > 100
+
+
+def test_counted_is_postings_and_rows(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "COUNTED", 40)
+    rows = corpus(spark)
+    got = sorted((r.id, r.term, r.dl, r.tf) for r in lexical.counted(rows, ["id"], "text").collect())
+    want = [(r.id, r.term, r.dl, r.tf) for r in lexical.postings(rows, "id", "text").collect()]
+    sizes = [(r.id, "", len(r.terms), 1) for r in rows.select("id", lexical.search_terms(F.col("text")).alias("terms")).collect()]
+    assert got == sorted(want + sizes)
+    some = lexical.counted(rows, ["id"], "text", ["w1", "w7"]).where("term <> ''").collect()
+    assert sorted((r.id, r.term, r.dl, r.tf) for r in some) == sorted(x for x in want if x[1] in ("w1", "w7"))
