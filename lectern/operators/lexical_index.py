@@ -1,41 +1,48 @@
-"""A stored lexical index: blocks of postings with their maxima, and BM25 by bounds.
+"""A stored lexical index: blocks of postings, and BM25 by their maxima.
 
 Rows are dealt out to buckets of about ``BUCKET`` within their document (by a hash,
 so no row needs a place of its own). A block holds what one term has in one bucket:
-the ids with the part of the BM25 score that depends on the row, and the largest
-such part. Blocks are stored sorted by term range, statistics beside them.
-
-A search sums, for each query and bucket, weight times maximum of the query's terms:
-no row of the bucket can score more. The ``FIRST`` best buckets of a query are scored
-first; of the others only those whose bound reaches the k-th best score are opened.
-A query that is restricted to one document meets that document's blocks only, while
-statistics stay those of the whole store. A search reads the index and nothing else.
+the ids, the term's occurrences and the lengths of the rows. A block of no term holds
+all rows of its bucket. Blocks are made by groups of whole buckets from texts that are
+read once, and stored sorted by term, statistics beside them.
+
+A search reads the blocks of the terms asked for and deals buckets out in cells of
+bounded size. A cell sums, for each query and bucket, weight times the largest part of
+the query's terms: no row of the bucket can score more. The ``FIRST`` best buckets of
+a query are scored first; of the others only those whose bound reaches the k-th best
+score of the cell. A cell gives K rows a query. A query that is restricted to one
+document meets that document's buckets only, while statistics stay those of the whole
+store. A search reads the index and nothing else.
 
 Equal scores (to six places) go to the smaller id. A row of no terms counts in the
-statistics and is found by no query; a null text is one of no terms.
+statistics and is found by no query; a null text is one of no terms. Ids are unique.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import search_terms
-from lectern.operators.lexical import K1, B, idf, postings
-from lectern.plans.scratch import Scratch
+from lectern.operators import lexical
+from lectern.operators.lexical import ROW
+from lectern.plans.scratch import Scratch, workers_import_package
 
 BUCKET = 16
 FIRST = 24
-#: Most (query, term) rows that are broadcast to the blocks.
-BROADCAST_TERMS = 200_000
-SLACK = 1e-5
+#: Rows whose blocks are made together.
+SHARD = 512
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Tables: blocks (term, doc, bucket, high, entries), terms (term, df), stats (n, avgdl)."""
+    """Tables: blocks (term, doc, bucket, ids, tfs, dls), terms (term, df), stats (n, avgdl)."""
 
     blocks: DataFrame
     terms: DataFrame
@@ -46,75 +53,71 @@ class LexicalIndex:
         return LexicalIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("blocks", "terms", "stats")))
 
     def write(self, path: str) -> None:
-        for name in ("terms", "stats"):
-            getattr(self, name).write.parquet(f"{path}/{name}")
-        by = ["term", "doc", "bucket"]
-        self.blocks.repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(f"{path}/blocks")
+        # a term's blocks go to several places, as some have nearly all rows
+        self.blocks.repartition("term", F.pmod("bucket", F.lit(8))).sortWithinPartitions("term", "doc", "bucket").write.parquet(f"{path}/blocks")
+        stored = _of(self.blocks.sparkSession.read.parquet(f"{path}/blocks"))
+        stored.terms.write.parquet(f"{path}/terms")
+        stored.stats.write.parquet(f"{path}/stats")
+
+
+def _of(blocks: DataFrame) -> LexicalIndex:
+    terms = blocks.where(F.col("term") != ROW).groupBy("term").agg(F.sum(F.size("ids")).alias("df"))
+    total = F.sum(F.aggregate("dls", F.lit(0).cast("bigint"), lambda s, x: s + x))
+    n = F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n")
+    return LexicalIndex(blocks, terms, blocks.where(F.col("term") == ROW).agg(n, F.coalesce(total / F.sum(F.size("ids")), F.lit(0.0)).alias("avgdl")))
 
 
-def build(rows: DataFrame, bucket: int = BUCKET, k1: float = K1, b: float = B) -> LexicalIndex:
+def build(rows: DataFrame, bucket: int = BUCKET) -> LexicalIndex:
     """Index of ``rows`` (id, doc, text)."""
-    listed = rows.select("id", "doc", search_terms(F.col("text")).alias("terms"))
-    stats = listed.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("terms")), F.lit(0.0)).alias("avgdl"))
-    posted = postings(rows, "id", "text").join(_buckets(rows, bucket), "id")
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / stats.select("avgdl").scalar()))
-    parts = posted.select("term", "doc", "bucket", "id", part.alias("part"))
-    # a bucket holds about as many rows as asked for, so the list of a block is short
-    blocks = parts.groupBy("term", "doc", "bucket").agg(F.max("part").alias("high"), F.collect_list(F.struct("id", "part")).alias("entries"))
-    terms = posted.groupBy("term").agg(F.count("*").alias("df"))
-    return LexicalIndex(blocks, terms, stats)
+    workers_import_package(rows.sparkSession)
+    dealt = _buckets(rows, bucket)
+    n_shards = -(-rows.count() // SHARD) or 1
+    # texts are dealt out as they are and cut into terms afterwards
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc", "bucket"), F.lit(n_shards))).repartition("shard")
+    dealt = dealt.select("shard", "id", "doc", "bucket", search_terms(F.col("text")).alias("terms"))
+    kinds = dict(dealt.dtypes)
+    schema = f"term string, doc {kinds['doc']}, bucket bigint, ids array<{kinds['id']}>, tfs array<int>, dls array<int>"
+    return _of(dealt.groupBy("shard").applyInArrow(_blocks, schema))
+
+
+def _blocks(table: pa.Table) -> pa.Table:
+    """(term, doc, bucket, ids, tfs, dls) of rows (id, doc, bucket, terms) that hold whole buckets."""
+    ids, doc, bucket, terms = (table.column(c).combine_chunks() for c in ("id", "doc", "bucket", "terms"))
+    n, dls = len(ids), pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = terms.flatten().dictionary_encode()
+    words = pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.array([ROW], pa.string())])
+    of = pd.DataFrame({"doc": doc.to_pandas(), "bucket": bucket.to_pandas()}).groupby(["doc", "bucket"], dropna=False).ngroup().to_numpy()
+    row = np.concatenate([np.repeat(np.arange(n), dls), np.arange(n)])
+    code = np.concatenate([coded.indices.to_numpy(), np.full(n, len(words) - 1)])
+    # by term, bucket and row
+    at, tf = np.unique((code * n + of[row]) * n + row, return_counts=True)
+    row, block = at % n, at // n
+    new = np.flatnonzero(np.diff(block, prepend=-1))
+    first, offsets = pa.array(row[new]), pa.array(np.append(new, len(at)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, x) for x in (ids.take(pa.array(row)), pa.array(tf.astype(np.int32)), pa.array(dls[row].astype(np.int32)))]
+    return pa.table([words.take(pa.array(block[new] // n)), doc.take(first), bucket.take(first), *lists], names=["term", "doc", "bucket", "ids", "tfs", "dls"])
 
 
 def _buckets(rows: DataFrame, bucket: int) -> DataFrame:
-    """(id, doc, bucket): the rows of a document over as many buckets as they fill."""
+    """(id, doc, text, bucket): the rows of a document over as many buckets as they fill."""
     counted = rows.groupBy("doc").agg(F.ceil(F.count("*") / bucket).alias("n_buckets"))
-    dealt = rows.select("id", "doc").alias("r").join(counted.alias("c"), F.col("r.doc").eqNullSafe(F.col("c.doc")))
-    return dealt.select("id", "r.doc", F.pmod(F.xxhash64("id"), F.col("n_buckets")).alias("bucket"))
-
-
-def _asked(index: LexicalIndex, queries: DataFrame) -> DataFrame:
-    """(query_id, scope, term, weight): terms of the queries that the index holds."""
-    scope = F.col("scope").cast("string") if "scope" in queries.columns else F.lit(None).cast("string")
-    asked = queries.select("query_id", scope.alias("scope"), F.explode(search_terms(F.col("text"))).alias("term"))
-    asked = asked.groupBy("query_id", "scope", "term").agg(F.count("*").alias("qtf"))
-    n = index.stats.select("n").scalar()
-    return asked.join(index.terms, "term").select("query_id", "scope", "term", (F.col("qtf") * idf(n, F.col("df"))).alias("weight"))
-
-
-def bucket_bounds(index: LexicalIndex, asked: DataFrame) -> DataFrame:
-    """(query_id, doc, bucket, bound, matched): what a row of the bucket can score at most, and its postings of the query's terms."""
-    inside: Column = F.col("scope").isNull() | (F.col("scope") == F.col("doc").cast("string"))
-    met = index.blocks.select("term", "doc", "bucket", "high", F.size("entries").alias("size")).join(asked, "term").where(inside)
-    return met.groupBy("query_id", "doc", "bucket").agg(F.sum(F.col("weight") * F.col("high")).alias("bound"), F.sum("size").alias("matched"))
-
-
-def bucket_scores(index: LexicalIndex, asked: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(query_id, id, score) of the rows in the ``chosen`` buckets (query_id, doc, bucket)."""
-    same = (F.col("c.query_id") == F.col("a.query_id")) & F.col("c.doc").eqNullSafe(F.col("a.doc")) & (F.col("c.bucket") == F.col("a.bucket"))
-    blocks = index.blocks.select("term", "doc", "bucket", "entries").join(asked.drop("scope"), "term")
-    opened = blocks.alias("a").join(chosen.alias("c"), same, "left_semi").select("query_id", "weight", F.explode("entries").alias("e"))
-    return opened.groupBy("query_id", F.col("e.id").alias("id")).agg(F.round(F.sum(F.col("weight") * F.col("e.part")), 6).alias("score"))
-
-
-def _top(scores: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    dealt = rows.select("id", "doc", "text").alias("r").join(counted.alias("c"), F.col("r.doc").eqNullSafe(F.col("c.doc")))
+    return dealt.select("id", "r.doc", "text", F.pmod(F.xxhash64("id"), F.col("n_buckets")).alias("bucket"))
 
 
 def search(index: LexicalIndex, queries: DataFrame, k: int, scratch: Scratch, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
     """(query_id, rank, id, score) of ``queries`` (query_id, text, perhaps scope), and (query_id, matched, opened): postings met and scored."""
-    asked = scratch.save(_asked(index, queries), "asked")
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "bucket", "doc"))
-    bounds = scratch.save(bucket_bounds(index, asked), "bounds")
-    placed = bounds.withColumn("nth", nth).where(F.col("nth") <= first).drop("nth")
-    best = scratch.save(placed, "first")
-    found = scratch.save(bucket_scores(index, asked, best), "found")
-    least = _top(found, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-    same = (F.col("b.query_id") == F.col("f.query_id")) & F.col("b.doc").eqNullSafe(F.col("f.doc")) & (F.col("b.bucket") == F.col("f.bucket"))
-    others = bounds.alias("b").join(best.select("query_id", "doc", "bucket").alias("f"), same, "left_anti").join(least, "query_id", "left")
-    others = scratch.save(others.where(F.col("least").isNull() | (F.col("bound") + SLACK >= F.col("least"))).drop("least"), "others")
-    ranked = _top(found.unionByName(bucket_scores(index, asked, others)), k)
-    opened = best.unionByName(others).groupBy("query_id").agg(F.sum("matched").alias("opened"))
-    work = bounds.groupBy("query_id").agg(F.sum("matched").alias("matched")).join(opened, "query_id")
-    return ranked, work
+    n, avgdl = index.stats.first()
+    weight = F.col("qtf") * lexical.idf(F.lit(n), F.col("df"))
+    asked = scratch.save(lexical.asked_terms(queries).join(index.terms, "term").select("query_id", "scope", "term", weight.alias("weight"), "df"), "asked")
+    known = asked.select("term", "df").distinct()
+    told = asked.count(), known.agg(F.sum("df")).first()[0] or 0
+    n_cells = max(1, -(-told[1] // lexical.CELL))
+    blocks = index.blocks.join(lexical.small(known.select("term"), told[0]), "term", "left_semi")
+    posted = blocks.select("term", F.col("doc").cast("string").alias("doc"), "bucket", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("e"))
+    part = lexical.part(F.col("e.tfs"), F.col("e.dls"), F.lit(avgdl))
+    posted = posted.select(F.col("e.ids").alias("id"), "doc", "bucket", "term", part.alias("part"))
+    cell = F.pmod(F.xxhash64("doc", "bucket"), F.lit(n_cells)).cast("int")
+    found = scratch.save(lexical.in_cells(asked.drop("df"), posted, n_cells, cell, k, first), "found")
+    work = found.where("matched IS NOT NULL").groupBy("query_id").agg(F.sum("matched").alias("matched"), F.sum("opened").alias("opened"))
+    return lexical.top(found.where("score IS NOT NULL"), k), work
