@@ -8,7 +8,8 @@ Everything a run makes becomes visible with one commit (:mod:`lectern.sources.st
 Tables: documents, chunks (chunk_id, doc_id, seq, text), vectors (doc_id, embedding,
 chunk_count), lineage state, groups (doc_id, lineage_group) and the lexical index.
 Chunks, vectors and lineage follow the batch; the index is made anew over all chunks,
-as its statistics are those of the whole store.
+as its statistics are those of the whole store. What a run wrote on its way goes when
+it ends; tables that newer commits replaced go with ``Store.vacuum``.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def ingest(store: Store, batch: DataFrame, number: int, scratch: Scratch, steps:
     Of several rows of one document in a batch the least text counts; a null id is left
     out. A document whose text gives no chunk is kept without chunks, vector or group.
     """
-    has_removed = "removed" in batch.columns
+    has_removed, scratch = "removed" in batch.columns, scratch.part("run")
 
     def work(before: Snapshot) -> dict[str, DataFrame | Callable[[str], None]]:
         columns = ["title", "cluster", "published_on", "text"]
@@ -76,19 +77,31 @@ def ingest(store: Store, batch: DataFrame, number: int, scratch: Scratch, steps:
         described = live.drop("text").join(vectors.select("doc_id", "embedding"), "doc_id")
         old = {name: store.table(name, before) for name in (*lineage_state.TABLES, "documents", "chunks", "vectors")}
         state = lineage_state.apply(old, described, touched, scratch)
-        every = scratch.save(replaced(old["chunks"], chunks, touched), "every-chunk")
+        every, written = replaced(old["chunks"], chunks, touched), []
+
+        def write_chunks(target: str) -> None:
+            every.write.parquet(target)
+            written.append(target)
+
+        def write_index(target: str) -> None:
+            """Of the chunks as they were just written, so that they need no copy."""
+            held = store.spark.read.schema(every.schema).parquet(written[-1])
+            lexical_index.build(held.select(F.col("chunk_id").alias("id"), F.col("doc_id").cast("string").alias("doc"), "text")).write(target)
+
         out = {
             "documents": replaced(old["documents"], live, touched),
-            "chunks": every,
+            "chunks": write_chunks,
             "vectors": replaced(old["vectors"], vectors, touched),
             **state,
         }
         if steps.index:
-            index = lexical_index.build(every.select(F.col("chunk_id").alias("id"), F.col("doc_id").cast("string").alias("doc"), "text"))
-            out["index"] = index.write
+            out["index"] = write_index
         return out
 
-    return store.run(number, work)
+    try:
+        return store.run(number, work)
+    finally:
+        scratch.drop()
 
 
 def ingest_stream(store: Store, stream: DataFrame, scratch: Scratch, steps: Steps = Steps()):

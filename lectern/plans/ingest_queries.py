@@ -171,6 +171,7 @@ def ingest_run(spark: SparkSession, d: str) -> DataFrame:
     gone = docs.where("doc_id % 10 = 7").withColumn("removed", F.lit(True))
     for number, batch, indexed in ((1, twice, False), (2, docs, False), (2, docs, False), (3, gone, True)):
         ingest_run_steps.ingest(store, batch, number, scratch, ingest_run_steps.Steps(index=indexed))
+        store.vacuum(keep=1)
     return store.table("chunks").select("chunk_id", "doc_id", F.md5("text").alias("text_md5"))
 
 

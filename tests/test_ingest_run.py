@@ -141,3 +141,12 @@ def test_streams_apply_each_batch_once(spark, tmp_path):
         writer = ingest_run.ingest_stream(store, stream, scratch, ingest_run.Steps(index=False)).trigger(availableNow=True)
         writer.option("checkpointLocation", Scratch(spark, "c").path).start().awaitTermination()
         assert store.table("chunks").count() == 10 and store.current().number == 2
+
+
+def test_a_run_leaves_nothing_in_its_scratch(spark, tmp_path):
+    store, scratch = Store(spark, str(tmp_path)), Scratch(spark, "t")
+    scratch.save(spark.range(1), "own")
+    assert ingest_run.ingest(store, documents(spark, [(1, "A", "c", "1990-01-01", "few words")]), 0, scratch)
+    at = spark._jvm.org.apache.hadoop.fs.Path(scratch.path)
+    assert [f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)] == ["001-own"]
+    assert [r.chunk_id for r in store.table("chunks").collect()] == ["1-0000"]
