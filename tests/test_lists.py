@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pathlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import dense, lists, recommend
+from lectern.operators import dense, lists, recommend, whole_lists
 from lectern.plans.scratch import Scratch
 
 DOCS = "doc_id long, lineage_group long, published_on string, chunk_count int, embedding array<double>"
@@ -156,3 +158,25 @@ def test_a_large_k_makes_small_blocks_of_queries(spark, monkeypatch):
         score = {i: np.floor(cosine(counts[q], counts[i]) * 1e6 + 0.5) / 1e6 for i in range(150)}
         order = sorted(score, key=lambda i: (-score[i], i))[:100]
         assert sorted(got[q]) == [(n + 1, i, score[i]) for n, i in enumerate(order)]
+
+
+def test_vectors_that_are_all_alike_move_few_rows(spark, monkeypatch):
+    """Far documents are as good as near ones here, yet no ranking is moved and blocks don't matter."""
+    monkeypatch.setattr(whole_lists, "DOCS_A_BLOCK", 150)
+    rng = np.random.default_rng(4)
+    counts = rng.poisson(rng.gamma(1.0, 6.0, 6), (700, 6)).astype(float)
+    rows = [(i, int(i % 20) if i % 10 == 0 else None, f"{1980 + i % 20}-02-03", 1, v.tolist()) for i, v in enumerate(counts)]
+    about, vectors = {r[0]: r for r in rows}, [rows[5][4], rows[6][4]]
+    asked = spark.createDataFrame([(1, vectors[0], 5, None, vectors[0]), (2, vectors[1], None, 0, None)], ASKED)
+    docs, scratch = store(spark, rows), Scratch(spark, "t")
+    ranker = lists.ScoredCatalogue(asked, docs, F.lit("2000-01-01").cast("timestamp"))
+    got = {}
+    for r in lists.pick(ranker, asked, docs, scratch, 5, 0.7, depth=4).collect():
+        got.setdefault(r.query_id, {})[r.pick] = r.doc_id
+    for q, seed in ((1, (5, None, vectors[0])), (2, (None, 0, None))):
+        score = {d: np.floor((0.5 * cosine(r[4], vectors[q - 1]) + 0.2 * recency(r[2])) * 1e6 + 0.5) / 1e6 for d, r in about.items()}
+        want = literal(sorted(about, key=lambda d: (-score[d], d)), about, vectors[q - 1], seed if seed[2] else (None, 0, [0.0] * 6), 5, 0.7, recommend.CEILING)
+        assert [got[q][i] for i in sorted(got[q])] == want
+    folder = pathlib.Path(scratch.path.removeprefix("file://"))
+    moved = [spark.read.parquet(f"file://{p}").count() for p in folder.iterdir() if not p.name.endswith(("-blocks", "-asked"))]
+    assert max(moved) < 100
