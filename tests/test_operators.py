@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +76,32 @@ def test_dense_blocks_and_scope(spark):
     assert dense.dense_topk(asked, rows, 0).count() == 0
 
 
+def cell(asked, held, scopes=None):
+    """A pair of blocks as the product gets it."""
+    q = pd.DataFrame({"key": range(len(asked)), "vector": list(asked), "kind": "query"})
+    r = pd.DataFrame({"key": range(len(held)), "vector": list(held), "kind": "row"})[::-1]
+    return pd.concat([q.assign(scope=None), r.assign(scope=scopes)], ignore_index=True).assign(bonus=0.0, of=np.nan)
+
+
+def test_dense_pair_of_blocks_takes_its_vectors_and_one_strip():
+    rng = np.random.default_rng(1)
+    few, many = rng.normal(size=(64, 4)), rng.normal(size=(8_192, 4))
+    pdf = cell(many, few)
+    tracemalloc.start()
+    got = dense._best_of_blocks(pdf, 1, 1.0, 128)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 8_192 and peak < 8e6
+
+
+def test_dense_strip_breaks_ties_by_id_and_skips_undefined_scores():
+    held = np.array([angle(a) for a in (40, 10, 10, 10, 0, 10)])
+    held[4] = np.nan
+    for strip in (1, 2, 5):
+        got = dense._best_of_blocks(cell(np.array([angle(10)] * 3 + [[0.0, 0.0], [np.nan, 0.0]]), held), 3, 1.0, strip)
+        assert got.groupby("query_id")["id"].agg(list).to_dict() == {0: [1, 2, 3], 1: [1, 2, 3], 2: [1, 2, 3], 3: [0, 1, 2]}
+
+
 def test_bm25(spark):
     rows = spark.createDataFrame([(1, "red fish"), (2, "Blue fish, blue sky"), (3, "the of")], "id int, text string")
     asked = spark.createDataFrame([(1, "blue (fish) +NOT"), (2, "the")], "query_id int, text string")
