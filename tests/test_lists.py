@@ -5,6 +5,7 @@ from __future__ import annotations
 import pathlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +181,37 @@ def test_vectors_that_are_all_alike_move_few_rows(spark, monkeypatch):
     folder = pathlib.Path(scratch.path.removeprefix("file://"))
     moved = [spark.read.parquet(f"file://{p}").count() for p in folder.iterdir() if not p.name.endswith(("-blocks", "-asked"))]
     assert max(moved) < 100
+
+
+def test_documents_move_packed(spark):
+    """A block's vectors are few values of bytes, whatever lengths they have; one of another length is far from all."""
+    rows = [(i, i // 2 if i % 10 < 2 else None, "1990-01-01", 1, [1.0, float(i % 13), float(i % 7)][: 2 if i == 5 else 3]) for i in range(900)]
+    asked, docs, scratch = spark.createDataFrame([(1, [1.0, 9.0, 2.0], None, None, None)], ASKED), store(spark, rows), Scratch(spark, "t")
+    ranker = lists.ScoredCatalogue(asked, docs, F.lit("2000-01-01").cast("timestamp"))
+    got = {r.pick: r.doc_id for r in lists.pick(ranker, asked, docs, scratch, 5, 0.7).collect()}
+    folder = next(p for p in pathlib.Path(scratch.path.removeprefix("file://")).iterdir() if p.name.endswith("-blocks"))
+    assert spark.read.parquet(f"file://{folder}").count() < 5
+    about, v = {r[0]: r for r in rows}, [1.0, 9.0, 2.0]
+    near = lambda d: cosine(about[d][4], v) if len(about[d][4]) == 3 else 0.0
+    score = {d: np.floor((0.5 * near(d) + 0.2 * recency(r[2])) * 1e6 + 0.5) / 1e6 for d, r in about.items()}
+    about[5] = (*rows[5][:4], [0.0, 0.0, 0.0])
+    want = literal(sorted(about, key=lambda d: (-score[d], d)), about, v, None, 5, 0.7, recommend.CEILING)
+    assert [got[i] for i in sorted(got)] == want
+
+
+@pytest.mark.parametrize("spread", [1e-9, 1e-6, 1e-4, 0.5])
+def test_what_leads_is_told_in_double_precision(spread):
+    """Documents that single precision can't tell apart come in the order of their rounded values, ties by id."""
+    rng, n = np.random.default_rng(3), 20_000
+    vectors = np.array([3.0, 1.0, 2.0, 5.0]) + rng.normal(scale=spread, size=(n, 4))
+    vectors[::7] = vectors[3]
+    ids, query = rng.permutation(n), [2.0, 1.0, 2.0, 5.5]
+    docs = pd.DataFrame({"j": 0, "doc_id": ids, "grp": 0, "at": 0, "grouped": False, "bonus": 0.0, "vector": list(vectors)})
+    told = pd.DataFrame([{"kind": kind, "query_id": 1, "doc_id": 0, "place": 0, "grp": 0, "vector": query} for kind in ("rank", "near")])
+    rows = pd.concat([whole_lists.packed(docs).astype(object), told.astype(object)], ignore_index=True).fillna(np.nan).replace({np.nan: None})
+    rows = rows.assign(j=0, query_id=rows["query_id"].astype("int64"))
+    found = whole_lists.cell_rows(rows, 1.0, 0.7, 1.0, 24, 8)
+    score = np.floor(vectors @ query / (np.linalg.norm(vectors, axis=1) * np.linalg.norm(query)) * 1e6 + 0.5) / 1e6
+    order = ids[np.lexsort((ids, -score))]
+    assert found[found["kind"] == "first"]["doc_id"].tolist() == order[:24].tolist()
+    assert found[found["kind"] == "pool"]["doc_id"].tolist() == order[:8].tolist()
