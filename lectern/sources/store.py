@@ -18,6 +18,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.plans.scratch import shuffles_go
+
 
 class Conflict(RuntimeError):
     """Another run committed in the meantime; the run may be started again."""
@@ -83,10 +85,11 @@ class Store:
         if batch <= before.batch:
             return False
         folders = dict(before.folders)
-        for name, made in work(before).items():
-            folders[name] = f"{name}-{batch}-{uuid.uuid4().hex}"
-            target = f"{self.path}/tables/{folders[name]}"
-            made.write.parquet(target) if isinstance(made, DataFrame) else made(target)
+        with shuffles_go(self.spark):
+            for name, made in work(before).items():
+                folders[name] = f"{name}-{batch}-{uuid.uuid4().hex}"
+                target = f"{self.path}/tables/{folders[name]}"
+                made.write.parquet(target) if isinstance(made, DataFrame) else made(target)
         self._commit(before.number, batch, folders)
         return True
 

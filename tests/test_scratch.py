@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import jaccard
 from lectern.plans.scratch import Scratch, shuffles_go
+from lectern.sources.store import Store
 
 
 def shuffle_files(spark) -> set[str]:
@@ -45,6 +46,14 @@ def test_a_setting_of_the_session_stays(spark):
     spark.conf.unset(name)
 
 
+def test_a_batch_leaves_no_shuffle_files(spark):
+    store, before = Store(spark, f"{Scratch(spark, 't').path}/store"), shuffle_files(spark)
+    rows = spark.range(3_000)
+    made = {"counted": rows.groupBy((F.col("id") % 9).alias("k")).count(), "held": lambda target: rows.distinct().write.parquet(target)}
+    assert store.run(0, lambda at: made)
+    assert left(spark, before) == set() and store.table("counted").count() == 9 and store.table("held").count() == 3_000
+
+
 def test_compared_sets_go(spark):
     words = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(words[i % 7 * 40 : i % 7 * 40 + 100] + [f"x{i}"])) for i in range(90)]
