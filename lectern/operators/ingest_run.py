@@ -86,7 +86,7 @@ def ingest(store: Store, batch: DataFrame, number: int, scratch: Scratch, steps:
         def write_index(target: str) -> None:
             """Of the chunks as they were just written, so that they need no copy."""
             held = store.spark.read.schema(every.schema).parquet(written[-1])
-            lexical_index.build(held.select(F.col("chunk_id").alias("id"), F.col("doc_id").cast("string").alias("doc"), "text")).write(target)
+            lexical_index.write(held.select(F.col("chunk_id").alias("id"), F.col("doc_id").cast("string").alias("doc"), "text"), target)
 
         out = {
             "documents": replaced(old["documents"], live, touched),

@@ -20,6 +20,7 @@ statistics and is found by no query; a null text is one of no terms. Ids are uni
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,12 +33,15 @@ from pyspark.sql import functions as F
 from lectern.functions.text import search_terms
 from lectern.operators import lexical
 from lectern.operators.lexical import ROW
-from lectern.plans.scratch import Scratch, workers_import_package
+from lectern.plans.scratch import Scratch, shuffles_go, workers_import_package
 
 BUCKET = 16
 FIRST = 24
 #: Rows whose blocks are made together.
 SHARD = 512
+#: An index of many rows is written in parts of whole documents, each of which moves alone.
+PARTS = 8
+PART = 4_096
 
 
 @dataclass(frozen=True)
@@ -53,13 +57,27 @@ class LexicalIndex:
         return LexicalIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("blocks", "terms", "stats")))
 
     def write(self, path: str) -> None:
+        _write([self.blocks], path)
+
+
+def _write(parts: Iterable[DataFrame], path: str) -> None:
+    for blocks in parts:
         # a term's blocks go to several places, as some have nearly all rows
-        self.blocks.repartition("term", F.pmod("bucket", F.lit(8))).sortWithinPartitions("term", "doc", "bucket").write.parquet(f"{path}/blocks")
-        stored = _of(self.blocks.sparkSession.read.parquet(f"{path}/blocks"))
+        with shuffles_go(blocks.sparkSession):
+            blocks.repartition("term", F.pmod("bucket", F.lit(8))).sortWithinPartitions("term", "doc", "bucket").write.mode("append").parquet(f"{path}/blocks")
+    stored = _of(blocks.sparkSession.read.parquet(f"{path}/blocks"))
+    with shuffles_go(blocks.sparkSession):
         stored.terms.write.parquet(f"{path}/terms")
         stored.stats.write.parquet(f"{path}/stats")
 
 
+def write(rows: DataFrame, path: str, bucket: int = BUCKET) -> None:
+    """Writes the index of ``rows`` (id, doc, text); the shuffle files of one part at a time are on disk."""
+    n = min(PARTS, -(-rows.count() // PART)) or 1
+    part = F.pmod(F.xxhash64("doc", F.lit(n)), F.lit(n))
+    _write((build(rows.where(part == i) if n > 1 else rows, bucket).blocks for i in range(n)), path)
+
+
 def _of(blocks: DataFrame) -> LexicalIndex:
     terms = blocks.where(F.col("term") != ROW).groupBy("term").agg(F.sum(F.size("ids")).alias("df"))
     total = F.sum(F.aggregate("dls", F.lit(0).cast("bigint"), lambda s, x: s + x))

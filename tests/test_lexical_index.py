@@ -94,3 +94,14 @@ def test_counted_is_postings_and_rows(spark, monkeypatch):
     assert got == sorted(want + sizes)
     some = lexical.counted(rows, ["id"], "text", ["w1", "w7"]).where("term <> ''").collect()
     assert sorted((r.id, r.term, r.dl, r.tf) for r in some) == sorted(x for x in want if x[1] in ("w1", "w7"))
+
+
+def test_an_index_written_in_parts_is_that_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(lexical_index, "PART", 20)
+    rows = spark.createDataFrame([(i, f"d{i % 11}" if i % 9 else None, None if i == 3 else f"w{i % 5} w{i % 7} x{i}") for i in range(110)], "id long, doc string, text string")
+    whole, parts = (f"{Scratch(spark, 't').path}/index" for _ in range(2))
+    lexical_index.build(rows).write(whole)
+    lexical_index.write(rows, parts)
+    a, b = (lexical_index.LexicalIndex.read(spark, p) for p in (whole, parts))
+    for x, y in ((a.blocks, b.blocks), (a.terms, b.terms), (a.stats, b.stats)):
+        assert sorted(map(str, x.collect())) == sorted(map(str, y.collect()))
